@@ -35,28 +35,36 @@ WORDS = 5
 BANDS = [((i * 0x9E3779B97F4A7C15) & (2**64 - 1)) - (2**64 if (i * 0x9E3779B97F4A7C15) & 2**63 else 0) for i in range(1, 9)]
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(w: Column) -> Column:
+def shingles(text: Column) -> Column:
     """Hash of the five words from each word on; none for shorter texts."""
-    at = F.when(F.size(w) >= WORDS, F.sequence(F.lit(0), F.size(w) - WORDS)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(WORDS))))
+    return let(words(text), lambda w: F.transform(upto(F.size(w) - WORDS), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(WORDS)))))
+
+
+def upto(last: Column) -> Column:
+    """0 to last; nothing if that is below 0."""
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
 def band(h: Column, i: Column, p: int) -> Column:
-    """Band p of the window of shingles i and i + 1; the last shingle of a text is its own last window."""
-    a, b = F.get(h, i), F.coalesce(F.get(h, i + 1), F.get(h, i))
+    """Band p of the window of shingles i and i + 1; the last shingle of a text is a window of its own (least skips null)."""
     c = F.lit(BANDS[p]).cast("long")
-    return F.least(a.bitwiseXOR(c), b.bitwiseXOR(c))
+    return F.least(F.get(h, i).bitwiseXOR(c), F.get(h, i + 1).bitwiseXOR(c))
 
 
 def templates(spark: SparkSession, given: dict[str, str]) -> DataFrame:
     """license, th: distinct shingles of each template with at least five words."""
     rows = spark.createDataFrame(sorted(given.items()), "license string, text string")
-    return rows.select("license", shingles(words(F.col("text"))).alias("h")).filter(F.size("h") > 0)
+    return rows.select("license", shingles(F.col("text")).alias("h")).filter(F.size("h") > 0)
 
 
 def scan(docs: DataFrame, given: dict[str, str] | None = None, *, least: float = 0.8) -> DataFrame:
@@ -73,21 +81,20 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, *, least: float =
     wins = t.select("license", F.col("h").alias("th"), F.posexplode("h").alias("i", "x"))
     keyed = wins.select("license", "th", "i", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), band(F.col("th"), F.col("i"), p).alias("v")) for p in range(len(BANDS))))).alias("k"))
     known = keyed.select("license", "th", "i", "k.*")
-    # A template of one shingle also stands for windows of which it is a part: its band is its own hash.
     values: dict[int, list[int]] = {p: [] for p in range(len(BANDS))}
     for p, v in known.select("p", "v").distinct().collect():
         values[p].append(v)
-    d = docs.select("doc_id", F.xxhash64("text").alias("t"), shingles(words(F.col("text"))).alias("h"))
+    def hits(h: Column) -> Column:
+        def any_(i: Column) -> Column:
+            out = F.lit(False)
+            for p in range(len(BANDS)):
+                out = out | band(h, i, p).isin(sorted(values[p]))
+            return out
 
-    def hit(i: Column) -> Column:
-        any_ = F.lit(False)
-        for p in range(len(BANDS)):
-            any_ = any_ | band(F.col("h"), i, p).isin(sorted(values[p]))
-        return any_
+        return F.struct(h.alias("h"), F.filter(upto(F.size(h) - 1), any_).alias("at"))
 
-    at = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1)).otherwise(F.array().cast("array<int>"))
-    hits = d.withColumn("at", F.filter(at, hit)).filter(F.size("at") > 0)
-    one = hits.select("doc_id", "t", "h", F.explode("at").alias("at"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("t"), let(shingles(F.col("text")), hits).alias("x"))
+    one = d.select("doc_id", "t", F.col("x.h").alias("h"), F.explode("x.at").alias("at"))
     bands = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), band(F.col("h"), F.col("at"), p).alias("v")) for p in range(len(BANDS))))).alias("k")
     found = one.select("doc_id", "t", "h", "at", bands).select("doc_id", "t", "h", "at", "k.*")
     both = found.join(F.broadcast(known), ["p", "v"])

@@ -69,7 +69,7 @@ def darts(elems: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: int, k: i
                     if not len(c):
                         break
                     i += 1
-                    d = mix(c + U64(i) * U64(0xD1342543DE82EF95))
+                    d = mix(c + U64(i * 0xD1342543DE82EF95 & (2**64 - 1)))
                     rank = j + (d >> U64(32)) * 2.0**-32
                     row = rows[cell]
                     ok = (rank < limit[row]) & ((d & U64(0xFFFF)) * 2.0**-16 < part[cell])

@@ -27,10 +27,10 @@ _POS = np.random.default_rng(7).integers(0, 2**63, 1 << 12, dtype=np.uint64) | U
 
 #: Rule: (numerator, denominator, smallest distance of a limit from the median in thousandths, whether it has a lower limit).
 RULES = {
-    "symbol_rate": ("n_symbols", "n_words", 500, False),
+    "symbol_rate": ("n_symbols", "n_words", 200, False),
     "upper_rate": ("n_upper", "word_chars", 250, False),
     "punct_rate": ("n_punct", "word_chars", 120, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 200, False),
+    "repeat_rate": ("n_repeat_words", "n_words", 300, False),
     "dup_line_rate": ("n_dup_lines", "n_lines", 400, False),
     "word_length": ("word_chars", "n_words", 2500, True),
 }
