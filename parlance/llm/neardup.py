@@ -211,11 +211,12 @@ def apart(rows: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
     deal = lambda g, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(g)).cast("int")
     many = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
     left = r.select("bh", deal("gr", 1).alias("i"), many("go").alias("j"), "node", "label", "sig")
-    right = r.filter("out").select("bh", many("gr").alias("i"), deal("go", 2).alias("j"), "node", "label", "sig")
+    right = r.filter("out").select(F.col("bh").alias("bh2"), many("gr").alias("i2"), deal("go", 2).alias("j2"), *(F.col(c).alias(f"{c}2") for c in ("node", "label", "sig")))
     k = BANDS * ROWS
     least = int((0.8 - 4.5 * math.sqrt(0.16 / k)) * k)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.rename_columns([c.removesuffix("2") for c in b.column_names])
         sig = [t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, k) if t.num_rows else np.zeros((0, k), np.int32) for t in (a, b)]
         la, lb = (np.array(t.column("label").to_pylist(), object) for t in (a, b))
         x, y = [], []
@@ -225,8 +226,7 @@ def apart(rows: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
             y += [q] * len(hit)
         return pa.table({"x": a.column("node").take(pa.array(x, pa.int64())), "y": b.column("node").take(pa.array(y, pa.int64()))})
 
-    keys = ["bh", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"x {NODE}, y {NODE}").select(*_ordered("x", "y")).distinct()
+    return left.groupBy("bh", "i", "j").cogroup(right.groupBy("bh2", "i2", "j2")).applyInArrow(run, f"x {NODE}, y {NODE}").select(*_ordered("x", "y")).distinct()
 
 
 def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small: int = 48) -> DataFrame:
