@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ship
+from parlance.llm.common import parts, ship
 
 PIECES, PAIRS, LONG = 200_000, 400_000, 200
 
@@ -141,14 +141,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", *, ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                made = [bpe.encode(t or "") for t in part.column(at).to_pylist()]
-                cols = [*part.columns, pa.array(made, pa.binary())]
-                if decoded:
-                    cols.append(pa.array([bpe.decode(x) for x in made], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, [*kept, ids, *([decoded] if decoded else [])])
+        for b in parts(batches):
+            made = [bpe.encode(t or "") for t in b.column(at).to_pylist()]
+            cols = [*b.columns, pa.array(made, pa.binary())]
+            if decoded:
+                cols.append(pa.array([bpe.decode(x) for x in made], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, [*kept, ids, *([decoded] if decoded else [])])
 
     schema = src.select("*", F.lit(b"").alias(ids), *([F.lit(b"").alias(decoded)] if decoded else [])).schema
     return src.mapInArrow(run, schema)
@@ -163,7 +161,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for b in batches:
+        for b in parts(batches):
             made = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

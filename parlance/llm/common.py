@@ -100,7 +100,7 @@ def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - (o[0] if len(o) else 0)
 
 
-def slices(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes, so that numpy's temporary arrays stay small; one row may be larger."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -110,6 +110,13 @@ def slices(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows: what Python makes of a piece is freed before the next."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all others."""
     x = x ^ (x >> U64(30))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ship
+from parlance.llm.common import parts, ship
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (1, 2, 3, 4)
@@ -90,7 +90,7 @@ def sample(docs: DataFrame, *, rows: int = 6000, words: int = 1000, buckets: int
     some = fit.withColumn("h", h).join(many, F.col("lang") == F.col("l")).filter(F.col("h") < F.lit(float(1 << 30)) * rows / F.col("k") / F.col("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             idx, wt = [], []
             for t in b.column(2).to_pylist():
                 ws = WORD.findall(t.lower())
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in parts(batches):
             got = [m.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == "und" or g[1] < m.least for g in got], pa.bool_())], [*kept, *new]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ALNUM, U64, bytes_of, drop, mix, runs_of, save, ship, slices, word_hashes, words_of
+from parlance.llm.common import ALNUM, U64, bytes_of, drop, mix, parts, runs_of, save, ship, slices, word_hashes, words_of
 
 WORDS, BANDS, ROWS = 5, 25, 5
 NODE = "decimal(38,0)"
@@ -54,8 +54,8 @@ def darts(elems: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: int, k: i
         for lo in range(0, len(live), 1 << 16):
             at, ranks = live[lo : lo + (1 << 16)], high[lo : lo + (1 << 16)]
             start = 0
-            while start < len(at):  # at most about a million cells at a time
-                stop = start + max(1, int(np.searchsorted(np.cumsum(ranks[start:]), 1 << 20)))
+            while start < len(at):  # at most some hundred thousand cells at a time
+                stop = start + max(1, int(np.searchsorted(np.cumsum(ranks[start:]), 1 << 17)))
                 a, r = at[start:stop], ranks[start:stop]
                 start = stop
                 cell = np.repeat(a, r)
@@ -138,7 +138,7 @@ def signed(docs: DataFrame, *, counted: bool = False) -> DataFrame:
     k = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for i, n, h, r, count, keys in shingled(b.column(2).to_pylist()):
                 sig = darts(h, count.astype(float) if counted else np.ones(len(h)), r, n, k).astype(U64).reshape(n, BANDS, ROWS)
                 v = np.zeros((n, BANDS), U64)
@@ -157,7 +157,7 @@ def sets_of(rows: DataFrame, *, counted: bool = False) -> DataFrame:
     k = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for i, n, h, r, count, _ in shingled(b.column(1).to_pylist()):
                 sig = darts(h, count.astype(float) if counted else np.ones(len(h)), r, n, k)
                 yield pa.RecordBatch.from_arrays(
@@ -240,7 +240,8 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
     rows = save(signed(docs, counted=counted), "signed")
     nodes = save(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("d", "th")).alias("rep"), F.first("bands").alias("bands")), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("bh"))
-    buckets = bands.groupBy("bh").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).filter("c > 1")
+    # Written first: a join whose sides are both plain exchanges can be split where a bucket is hot.
+    buckets = save(bands.groupBy("bh").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).filter("c > 1"), "buckets")
     shared = save(bands.join(buckets, "bh"), "shared")
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep.d", "rep.th")
     sets = save(sets_of(_keyed(docs).join(wanted, ["d", "th"]), counted=counted).dropDuplicates(["node"]), "sets")

@@ -195,7 +195,7 @@ def pack(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 1, windo
     done = save(src.mapInArrow(first, SCHEMA), "packed")
     out, left, tier = done.filter("ids is null"), done.filter("ids is not null"), 1
     while True:
-        parts = -(-parts // fan_in)
+        parts = max(1, -(-parts // fan_in))
         last = parts == 1
         base = tier << 56
 

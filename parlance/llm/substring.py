@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SPACE, U64, bytes_of, runs_of, save, ship, slices, word_hashes, words_of
+from parlance.llm.common import SPACE, U64, bytes_of, parts, runs_of, save, ship, slices, word_hashes, words_of
 
 GRAM, WINDOW, LEAST = 26, 25, 50
 LAST = 2**63 - 1
@@ -33,7 +33,7 @@ def units(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """d, th, h, pos: the sampled runs of each text; pos counts words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 2048):
             data, offs = bytes_of(b.column(2))
             for i, j in slices(offs):
                 d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
@@ -69,7 +69,7 @@ def contexts(rows: DataFrame, reach: int) -> DataFrame:
     """d, th, side, edge, ctx: hashes of up to `reach` words before (side 0, nearest first) or from (side 1) each edge asked for. rows: d, th, text, edges (array of side, edge)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             data, offs = bytes_of(b.column(2))
             out: list[list] = [[], [], [], [], []]
             for i in range(b.num_rows):
@@ -92,6 +92,7 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     ship(docs.sparkSession)
     u = save(units(docs, gram, window), "units")
     first = u.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "pos")).alias("f")).filter("n > 1").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.pos").alias("fpos"))
+    first = save(first, "first")  # a join whose sides are both plain exchanges can be split where a unit is hot
     own = (F.col("d") == F.col("fd")) & (F.col("th") == F.col("fth"))
     later = u.join(first, "h").filter(~own | (F.col("pos") - F.col("fpos") >= gram)).select("d", "th", "pos", "fd", "fth", (F.col("pos") - F.col("fpos")).alias("shift")).distinct()
     w = Window.partitionBy("d", "th").orderBy("pos")
@@ -131,7 +132,7 @@ def substring_dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, wi
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts, spans, gone = [], [], []
             for t, s in zip(b.column(at).to_pylist(), b.column(len(kept)).to_pylist(), strict=True):
                 found, n = [], 0
