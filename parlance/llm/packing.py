@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import save, ship
 
-CHUNKS = 1_000_000
+CHUNKS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 TYPES = [pa.int64()] * 7 + [pa.binary()]
@@ -45,6 +45,7 @@ class WordBPE:
         for t, i in vocab.items():
             self.width[i] = len(t.removesuffix("</w>"))
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def alone(self, chunk: bytes) -> None:
         self.known[chunk] = np.array(self.lib.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -79,12 +80,15 @@ class WordBPE:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
-        missing = {c for s in split for c in s if c not in self.known}
+        missing = set().union(*split).difference(self.known)
         if missing:
-            if len(self.known) + len(missing) > CHUNKS:
-                self.known.clear()
-                missing = {c for s in split for c in s}
-            self.learn(sorted(missing))
+            if len(self.known) + len(missing) > CHUNKS:  # what was used of late is found again among the older ones
+                self.older, self.known = self.known, {}
+                missing = set().union(*split)
+            back = missing & self.older.keys()
+            for c in back:
+                self.known[c] = self.older[c]
+            self.learn(sorted(missing - back))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
