@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from parlance.llm.common import ALNUM, U64, bytes_of, drop, mix, parts, runs_of, save, ship, slices, word_hashes, words_of
 
 WORDS, BANDS, ROWS = 5, 25, 5
+#: Coordinates of the signature by which pairs within a bucket are told apart before the exact check; one byte of each is kept.
+FINE = 512
 NODE = "decimal(38,0)"
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
@@ -153,19 +155,18 @@ def signed(docs: DataFrame, *, counted: bool = False) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, *, counted: bool = False) -> DataFrame:
-    """node, sh (32-bit shingle hashes), sig of rows with node and text."""
-    k = BANDS * ROWS
+    """node, sh (32-bit shingle hashes), sig (FINE bytes) of rows with node and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             for i, n, h, r, count, _ in shingled(b.column(1).to_pylist()):
-                sig = darts(h, count.astype(float) if counted else np.ones(len(h)), r, n, k)
+                sig = darts(h, count.astype(float) if counted else np.ones(len(h)), r, n, FINE).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, n), _lists((h >> U64(32)).astype(np.uint32).view(np.int32), np.bincount(r, minlength=n), pa.int32()), _lists(sig.reshape(-1).view(np.int32), np.full(n, k), pa.int32())],
+                    [b.column(0).slice(i, n), _lists((h >> U64(32)).astype(np.uint32).view(np.int32), np.bincount(r, minlength=n), pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary())],
                     ["node", "sh", "sig"],
                 )
 
-    return rows.select("node", "text").mapInArrow(run, f"node {NODE}, sh array<int>, sig array<int>")
+    return rows.select("node", "text").mapInArrow(run, f"node {NODE}, sh array<int>, sig binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,23 +186,61 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def agreed(pairs: DataFrame, sets: DataFrame, percent: int, estimate: bool) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is at least `percent`; if asked for, those far off by their signatures are left out first."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("sh").alias(f"sh_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    if estimate:
-        least = int((percent / 100 - 4.5 * math.sqrt(percent / 100 * (1 - percent / 100) / (BANDS * ROWS))) * BANDS * ROWS)
-        eq = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        pairs = pairs.join(a.drop("sh_a"), "a").join(b.drop("sh_b"), "b").filter(eq >= least).select("a", "b")
-    both = pairs.join(a.drop("sig_a"), "a").join(b.drop("sig_b"), "b")
+def agreed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity is at least `percent`."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("sh").alias(f"sh_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
     both = both.withColumn("i", F.size(F.array_intersect("sh_a", "sh_b"))).withColumn("n", F.size("sh_a") + F.size("sh_b") - F.col("i"))
     return both.filter(F.col("i") * 100 >= F.col("n") * percent).select("a", "b")
 
 
+def possible(percent: int) -> int:
+    """How many of FINE bytes texts of that similarity share at least, but for a chance of a few in a million."""
+    p = percent / 100
+    return int((p - 4.5 * math.sqrt(p * (1 - p) / FINE)) * FINE)
+
+
+def _keys(col: pa.Array) -> np.ndarray:
+    """A number for each decimal, by which equal ones are known."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    raw = np.frombuffer(col.buffers()[1], np.uint64).reshape(-1, 2)[col.offset : col.offset + len(col)]
+    return raw[:, 0] ^ mix(raw[:, 1].copy())
+
+
+def _bytes(col: pa.Array) -> np.ndarray:
+    data, offs = bytes_of(col)
+    return data.reshape(len(offs) - 1, FINE)
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def apart(rows: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+def apart_small(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """As apart(), for buckets of few members, each of which is one row here: only pairs that may be similar are made."""
+    one = rows.join(sets.select("node", "sig"), "node").groupBy("bh").agg(F.collect_list(F.struct("node", "label", "out", "sig")).alias("m"))
+    least = possible(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            m = b.column(0)
+            flat, ends = m.flatten(), np.cumsum(m.value_lengths().to_numpy(zero_copy_only=False))
+            node, label, out, sig = (flat.field(i) for i in range(4))
+            label, out, sig = _keys(label), out.to_numpy(zero_copy_only=False), _bytes(sig)
+            x, y, at = [], [], 0
+            for end in ends.tolist():
+                for q in np.flatnonzero(out[at:end]) + at:
+                    hit = np.flatnonzero(((sig[at:end] == sig[q]).sum(1) >= least) & (label[at:end] != label[q])) + at
+                    x += hit.tolist()
+                    y += [q] * len(hit)
+                at = end
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(x, pa.int64())), node.take(pa.array(y, pa.int64()))], ["x", "y"])
+
+    return one.select("m").mapInArrow(run, f"x {NODE}, y {NODE}").select(*_ordered("x", "y")).distinct()
+
+
+def apart(rows: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """Pairs of different labels in buckets, for members outside the pivot's component (`out`) against all members, in blocks.
 
     rows: bh, node, label, out. Only pairs whose signatures could be similar enough come out.
@@ -212,19 +251,17 @@ def apart(rows: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
     many = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
     left = r.select("bh", deal("gr", 1).alias("i"), many("go").alias("j"), "node", "label", "sig")
     right = r.filter("out").select(F.col("bh").alias("bh2"), many("gr").alias("i2"), deal("go", 2).alias("j2"), *(F.col(c).alias(f"{c}2") for c in ("node", "label", "sig")))
-    k = BANDS * ROWS
-    least = int((0.8 - 4.5 * math.sqrt(0.16 / k)) * k)
+    least = possible(percent)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.rename_columns([c.removesuffix("2") for c in b.column_names])
-        sig = [t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, k) if t.num_rows else np.zeros((0, k), np.int32) for t in (a, b)]
-        la, lb = (np.array(t.column("label").to_pylist(), object) for t in (a, b))
         x, y = [], []
-        for q in range(len(sig[1])):
-            hit = np.flatnonzero(((sig[0] == sig[1][q]).sum(1) >= least) & (la != lb[q]))
-            x += hit.tolist()
-            y += [q] * len(hit)
-        return pa.table({"x": a.column("node").take(pa.array(x, pa.int64())), "y": b.column("node").take(pa.array(y, pa.int64()))})
+        if a.num_rows and b.num_rows:
+            sa, sb, la, lb = _bytes(a.column("sig")), _bytes(b.column("sig2")), _keys(a.column("label")), _keys(b.column("label2"))
+            for q in range(len(sb)):
+                hit = np.flatnonzero(((sa == sb[q]).sum(1) >= least) & (la != lb[q]))
+                x += hit.tolist()
+                y += [q] * len(hit)
+        return pa.table({"x": a.column("node").take(pa.array(x, pa.int64())), "y": b.column("node2").take(pa.array(y, pa.int64()))})
 
     return left.groupBy("bh", "i", "j").cogroup(right.groupBy("bh2", "i2", "j2")).applyInArrow(run, f"x {NODE}, y {NODE}").select(*_ordered("x", "y")).distinct()
 
@@ -247,7 +284,7 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
     sets = save(sets_of(_keyed(docs).join(wanted, ["d", "th"]), counted=counted).dropDuplicates(["node"]), "sets")
 
     first = shared.filter("node != pivot").select(*_ordered("node", "pivot")).distinct()
-    links = save(agreed(first, sets, percent, False), "pairs")
+    links = save(agreed(first, sets, percent), "pairs")
     labels = components(links)
 
     def labelled(rows_: DataFrame, node: str, name: str) -> DataFrame:
@@ -258,19 +295,18 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
     more = labelled(labelled(shared.filter("c > 2"), "node", "label"), "pivot", "home")
     outside = save(more.filter("label != home"), "outside")
     if outside.limit(1).count():
-        second = outside.groupBy("bh").agg(F.min("node").alias("pivot2"))
+        second = save(outside.groupBy("bh").agg(F.min("node").alias("pivot2")), "second")
         pairs = outside.join(second, "bh").filter("node != pivot2").select(*_ordered("node", "pivot2")).distinct().join(first, ["a", "b"], "left_anti")
-        links = save(links.union(agreed(pairs, sets, percent, True)), "pairs")
+        links = save(links.union(agreed(pairs, sets, percent)), "pairs")
         labels = components(links)
         more = labelled(labelled(shared.filter("c > 2"), "node", "label"), "pivot", "home")
         apart_in = more.groupBy("bh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bh")
         rest = save(more.join(apart_in, "bh", "left_semi").select("bh", "c", "node", "label", (F.col("label") != F.col("home")).alias("out")), "rest")
-        x, y = rest.filter(F.col("c") <= small), rest.filter((F.col("c") <= small) & F.col("out"))
-        few = x.select("bh", F.col("node").alias("x"), F.col("label").alias("lx")).join(y.select("bh", F.col("node").alias("y"), F.col("label").alias("ly")), "bh").filter("lx != ly").select(*_ordered("x", "y")).distinct()
-        found = [agreed(few.join(first, ["a", "b"], "left_anti"), sets, percent, True)]
+        few = apart_small(rest.filter(F.col("c") <= small), sets, percent)
+        found = [agreed(few.join(first, ["a", "b"], "left_anti"), sets, percent)]
         large = rest.filter(F.col("c") > small)
         if large.limit(1).count():
-            found.append(agreed(apart(large, sets), sets, percent, False))
+            found.append(agreed(apart(large, sets, percent), sets, percent))
         for f in found:
             links = links.union(f)
         links = save(links, "pairs")
