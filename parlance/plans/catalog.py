@@ -17,7 +17,7 @@ from parlance.streaming import limits
 POSITIVE, NEGATIVE = ["the", "les", "der", "una"], ["that", "des", "die", "los"]
 PATTERNS = {"emphasis": [r"\bidiot\b", r"\bmoron\b"], "question": [r"!$"], "statistic": [r"\d+"], "conclusion": [r"\blicense\b", r"\blicensed\b"]}
 STRONG = ["the", "la"]
-NAME = r"\b([A-Z][a-z]+\s[a-z]+)\b"
+NAME = r"([A-Z][a-z]+\s[a-z]+)"
 EMOTIONS = {"joy": ["the", "les"], "anger": ["ung", "des"], "wonder": ["ing", "que"]}
 
 
