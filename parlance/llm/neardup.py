@@ -241,26 +241,43 @@ def apart_small(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def apart(rows: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs of different labels in buckets, for members outside the pivot's component (`out`) against all members, in blocks.
+    """Links between different labels in buckets of many members: those outside the pivot's component (`out`) against all, in blocks.
 
-    rows: bh, node, label, out. Only pairs whose signatures could be similar enough come out.
+    rows: bh, node, label, out. Signatures rule pairs out, shingle sets decide on the rest within the block, and a pair
+    whose labels the block has linked already is passed over: fewer links come out of a block than it has members.
     """
     counts = rows.groupBy("bh").agg(F.ceil(F.count("*") / block).cast("int").alias("gr"), F.ceil(F.count_if("out") / block).cast("int").alias("go"))
-    r = rows.join(sets.select("node", "sig"), "node").join(counts, "bh")
+    r = save(rows.join(sets, "node").join(save(counts, "counts"), "bh"), "members")
     deal = lambda g, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(g)).cast("int")
     many = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
-    left = r.select("bh", deal("gr", 1).alias("i"), many("go").alias("j"), "node", "label", "sig")
-    right = r.filter("out").select(F.col("bh").alias("bh2"), many("gr").alias("i2"), deal("go", 2).alias("j2"), *(F.col(c).alias(f"{c}2") for c in ("node", "label", "sig")))
+    cols = ("node", "label", "sig", "sh")
+    left = r.select("bh", deal("gr", 1).alias("i"), many("go").alias("j"), *cols)
+    right = r.filter("out").select(F.col("bh").alias("bh2"), many("gr").alias("i2"), deal("go", 2).alias("j2"), *(F.col(c).alias(f"{c}2") for c in cols))
     least = possible(percent)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = [], []
         if a.num_rows and b.num_rows:
             sa, sb, la, lb = _bytes(a.column("sig")), _bytes(b.column("sig2")), _keys(a.column("label")), _keys(b.column("label2"))
+            fa, fb = a.column("sh").combine_chunks(), b.column("sh2").combine_chunks()
+            va, oa, vb, ob = fa.flatten().to_numpy(), np.append(0, np.cumsum(fa.value_lengths())), fb.flatten().to_numpy(), np.append(0, np.cumsum(fb.value_lengths()))
+            names, ids = np.unique(np.concatenate([la, lb]), return_inverse=True)
+            ia, ib, group = ids[: len(la)], ids[len(la) :], np.arange(len(names))
             for q in range(len(sb)):
-                hit = np.flatnonzero(((sa == sb[q]).sum(1) >= least) & (la != lb[q]))
-                x += hit.tolist()
-                y += [q] * len(hit)
+                mine = np.unique(vb[ob[q] : ob[q + 1]])
+                hit = np.flatnonzero(((sa == sb[q]).sum(1) >= least) & (group[ia] != group[ib[q]]))
+                if not len(hit):
+                    continue
+                lens = oa[hit + 1] - oa[hit]
+                base = np.cumsum(lens) - lens
+                all_ = va[np.arange(int(lens.sum())) - np.repeat(base - oa[hit], lens)]
+                at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
+                both = np.add.reduceat((mine[at] == all_).astype(np.int64), base)
+                for h in hit[both * 100 >= (lens + len(mine) - both) * percent]:
+                    if group[ia[h]] != group[ib[q]]:
+                        group[group == group[ia[h]]] = group[ib[q]]
+                        x.append(int(h))
+                        y.append(q)
         return pa.table({"x": a.column("node").take(pa.array(x, pa.int64())), "y": b.column("node2").take(pa.array(y, pa.int64()))})
 
     return left.groupBy("bh", "i", "j").cogroup(right.groupBy("bh2", "i2", "j2")).applyInArrow(run, f"x {NODE}, y {NODE}").select(*_ordered("x", "y")).distinct()
@@ -306,7 +323,7 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
         found = [agreed(few.join(first, ["a", "b"], "left_anti"), sets, percent)]
         large = rest.filter(F.col("c") > small)
         if large.limit(1).count():
-            found.append(agreed(apart(large, sets, percent), sets, percent))
+            found.append(apart(large, sets, percent))
         for f in found:
             links = links.union(f)
         links = save(links, "pairs")

@@ -74,7 +74,7 @@ def test_blocks_find_all_pairs(spark):
     rows = [(1, i, i, i > 0) for i in range(7)]
     cast = "cast({} as decimal(38,0))"
     members = spark.createDataFrame(rows, "bh long, n int, l int, out boolean").selectExpr("bh", cast.format("n") + " node", cast.format("l") + " label", "out")
-    sets = spark.createDataFrame([(i, [0], bytes([i // 2]) * neardup.FINE) for i in range(7)], "n int, sh array<int>, sig binary").selectExpr(cast.format("n") + " node", "sh", "sig")
+    sets = spark.createDataFrame([(i, [i // 2], bytes([i // 2]) * neardup.FINE) for i in range(7)], "n int, sh array<int>, sig binary").selectExpr(cast.format("n") + " node", "sh", "sig")
     for block in (2, 100):
         got = {(int(r.a), int(r.b)) for r in neardup.apart(members, sets, 80, block).collect()}
         assert got == {(0, 1), (2, 3), (4, 5)}
