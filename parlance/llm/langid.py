@@ -78,7 +78,7 @@ class Model:
         return self.langs[best], float(e[best] / e.sum())
 
 
-def sample(docs: DataFrame, *, rows: int = 6000, words: int = 1000, buckets: int = 1 << 15, salt: int = 17) -> DataFrame:
+def sample(docs: DataFrame, *, rows: int = 2400, words: int = 400, buckets: int = 1 << 15, salt: int = 17) -> DataFrame:
     """lang, h, idx, wt: features of at most `rows` rows, spread evenly over the languages by a hash of doc_id.
 
     Of a text of more than `words` words, every j-th is used for training, from its start to its end.
@@ -105,7 +105,7 @@ def sample(docs: DataFrame, *, rows: int = 6000, words: int = 1000, buckets: int
 
 def train(rows: list, *, buckets: int = 1 << 15, dim: int = 12, epochs: int = 4, rate: float = 4.0, reject: float = 0.005, seed: int = 3) -> Model:
     """rows: (lang, h, idx, wt). A fifth is held back: its temperature has the least loss, and its scores' lower tail of share `reject` is rejected, where that is under one half."""
-    rows = [r for r in rows if r[2]]
+    rows = [r for r in rows if len(r[2])]
     langs = sorted({r[0] for r in rows})
     if not langs:
         return Model([], np.zeros((1, 0), np.float32))
@@ -142,10 +142,13 @@ def train(rows: list, *, buckets: int = 1 << 15, dim: int = 12, epochs: int = 4,
     return m
 
 
-def fitted(docs: DataFrame, *, rows: int = 6000, buckets: int = 1 << 15) -> Model:
-    """The model learned from docs (doc_id, text, lang). What reaches the driver is bounded by `rows` and `buckets`."""
-    got = sample(docs.select("doc_id", "text", "lang"), rows=rows, buckets=buckets).collect()
-    return train(sorted((tuple(r) for r in got), key=lambda r: (r[1], r[0], len(r[2]))), buckets=buckets)
+def fitted(docs: DataFrame, *, rows: int = 2400, buckets: int = 1 << 15) -> Model:
+    """The model learned from docs (doc_id, text, lang). What reaches the driver is bounded by `rows`, words a row and `buckets`; it comes as Arrow columns."""
+    got = sample(docs.select("doc_id", "text", "lang"), rows=rows, buckets=buckets).toArrow().combine_chunks()
+    cols = [got.column(c).combine_chunks() for c in ("idx", "wt")] if got.num_rows else []
+    feats = [[c.flatten().to_numpy()[a:b] for a, b in zip(o, o[1:], strict=False)] for c in cols for o in [np.append(0, np.cumsum(c.value_lengths().to_numpy()))]]
+    made = zip(got.column("lang").to_pylist(), got.column("h").to_pylist(), *feats, strict=True) if feats else ()
+    return train(sorted(made, key=lambda r: (r[1], r[0], len(r[2]))), buckets=buckets)
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
