@@ -47,7 +47,8 @@ def members(f, size: int) -> list[Member]:
     tail = min(size, 22 + 65_535 + 20)
     buf = bytes(f.read_at(tail, size - tail))
     at = buf.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", buf, at + 20)[0] != tail:
+    # The same four bytes may stand in the archive's comment: only the record whose comment ends with the file counts.
+    while at >= 0 and (at + 22 > tail or at + 22 + struct.unpack_from("<H", buf, at + 20)[0] != tail):
         at = buf.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("not a ZIP file")
