@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import parts, ship
+from parlance.llm.common import hold, parts, ship
 
 PIECES, PAIRS, LONG = 200_000, 400_000, 200
 
@@ -140,6 +140,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", *, ids:
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", coder.cache_clear)
         bpe = coder(path, pattern)
         for b in parts(batches):
             made = [bpe.encode(t or "") for t in b.column(at).to_pylist()]
@@ -160,6 +161,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("bpe", coder.cache_clear)
         bpe = coder(path, pattern)
         for b in parts(batches):
             made = [bpe.encode(t or "") for t in b.column(1).to_pylist()]

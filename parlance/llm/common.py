@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -84,6 +85,23 @@ def narrow(docs: DataFrame, **cols: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`").alias(k) for k, c in cols.items()))
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffles nothing refers to any more, so that executors delete their files now and not at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str = "", clear: Callable[[], None] | None = None) -> None:
+    """Called where a task begins: frees what other operators' tasks have left in this worker process, and notes how to free its own."""
+    for other in [k for k in _caches if k != name]:
+        _caches.pop(other)()
+    if clear:
+        _caches[name] = clear
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import parts, ship
+from parlance.llm.common import hold, parts, ship
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (1, 2, 3, 4)
@@ -47,6 +47,9 @@ class Model:
     def __getstate__(self):
         return {"langs": self.langs, "table": self.table, "heat": self.heat, "least": self.least, "known": {}, "rows": None}
 
+    def forget(self) -> None:
+        self.known, self.rows = {}, None
+
     def scores(self, text: str | None) -> np.ndarray | None:
         """Mean share of the whole text's words; None if it has no letter."""
         words = WORD.findall((text or "").lower())
@@ -165,6 +168,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        hold(f"langid {id(m)}", m.forget)
         for b in parts(batches):
             got = [m.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ALNUM, U64, bytes_of, drop, mix, parts, runs_of, save, ship, slices, word_hashes, words_of
+from parlance.llm.common import ALNUM, U64, bytes_of, drop, hold, mix, parts, runs_of, save, settle, ship, slices, word_hashes, words_of
 
 WORDS, BANDS, ROWS = 5, 25, 5
 #: Coordinates of the signature by which pairs within a bucket are told apart before the exact check; one byte of each is kept.
@@ -140,6 +140,7 @@ def signed(docs: DataFrame, *, counted: bool = False) -> DataFrame:
     k = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for b in parts(batches):
             for i, n, h, r, count, keys in shingled(b.column(2).to_pylist()):
                 sig = darts(h, count.astype(float) if counted else np.ones(len(h)), r, n, k).astype(U64).reshape(n, BANDS, ROWS)
@@ -299,6 +300,8 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
     shared = save(bands.join(buckets, "bh"), "shared")
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep.d", "rep.th")
     sets = save(sets_of(_keyed(docs).join(wanted, ["d", "th"]), counted=counted).dropDuplicates(["node"]), "sets")
+    drop(buckets)
+    settle(spark)
 
     first = shared.filter("node != pivot").select(*_ordered("node", "pivot")).distinct()
     links = save(agreed(first, sets, percent), "pairs")
@@ -329,6 +332,7 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
         links = save(links, "pairs")
         labels = components(links)
 
+    settle(spark)
     ids = labelled(nodes.select("node", F.col("rep.d").alias("d0")), "node", "label")
     named = ids.groupBy("label").agg(F.min("d0").alias("class_id"))
     by_node = ids.select("node", "label").join(named, "label").select("node", "class_id")

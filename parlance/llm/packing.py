@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import save, ship
+from parlance.llm.common import hold, save, ship
 
 CHUNKS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -178,6 +178,7 @@ def pack(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 1, windo
     ship(spark)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("packing", coder.cache_clear)
         part = TaskContext.get().partitionId()
         p, bpe, end = Packer(size, windows, min_cut, part << 32), coder(path), np.array([end_id], "<u4").tobytes()
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SPACE, U64, bytes_of, mix, parts, runs_of, save, ship, slices, words_of
+from parlance.llm.common import SPACE, U64, bytes_of, hold, mix, parts, runs_of, save, ship, slices, words_of
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct"]
 SYMBOLS, PUNCT, UPPER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -101,6 +101,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for b in parts(batches, 2048):
             data, offs = bytes_of(b.column(at))
             made = [counts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in slices(offs)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SPACE, U64, bytes_of, parts, runs_of, save, ship, slices, word_hashes, words_of
+from parlance.llm.common import SPACE, U64, bytes_of, drop, hold, parts, runs_of, save, settle, ship, slices, word_hashes, words_of
 
 GRAM, WINDOW, LEAST = 26, 25, 50
 LAST = 2**63 - 1
@@ -33,6 +33,7 @@ def units(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """d, th, h, pos: the sampled runs of each text; pos counts words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for b in parts(batches, 2048):
             data, offs = bytes_of(b.column(2))
             for i, j in slices(offs):
@@ -99,6 +100,8 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     same = (F.lag("fd").over(w) == F.col("fd")) & (F.lag("fth").over(w) == F.col("fth")) & (F.lag("shift").over(w) == F.col("shift")) & (F.col("pos") - F.lag("pos").over(w) <= gram)
     runs = later.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     runs = save(runs.groupBy("d", "th", "run").agg(F.min("pos").alias("a"), (F.max("pos") + gram).alias("b"), F.first("fd").alias("fd"), F.first("fth").alias("fth"), F.first("shift").alias("shift")), "runs")
+    drop(u, first)
+    settle(docs.sparkSession)
 
     side = lambda s, e: F.struct(F.lit(s).alias("side"), e.cast("int").alias("edge"), (e - F.col("shift")).cast("int").alias("fedge"))
     ends = runs.select("d", "th", "run", "fd", "fth", F.explode(F.array(side(0, F.col("a")), side(1, F.col("b")))).alias("e")).select("d", "th", "run", "fd", "fth", "e.*")
@@ -113,7 +116,10 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     more = F.when(stop == 0, F.size("ctx")).otherwise(stop - 1).cast("int")
     grown = both.select("d", "th", "run", "side", F.when(F.col("side") == 0, F.col("edge") - more).otherwise(F.col("edge") + more).alias("at"))
     spans = grown.groupBy("d", "th", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    return save(spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    out = save(spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    drop(runs, ctx)
+    settle(docs.sparkSession)
+    return out
 
 
 def substring_dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
