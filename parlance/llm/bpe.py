@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import hold, parts, ship
 
-PIECES, PAIRS, LONG = 200_000, 400_000, 200
+PIECES, PAIRS, LONG = 400_000, 400_000, 200
 
 
 class ByteBPE:
@@ -42,6 +42,7 @@ class ByteBPE:
         self.found.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.shorter: dict[int, int | None] = {}
 
     def merged(self, b: bytes) -> list[int]:
@@ -110,10 +111,13 @@ class ByteBPE:
         for p in self.split.findall(text):
             ids = known.get(p)
             if ids is None:
-                ids = np.array(self.backtrack(p.encode()), "<u4").tobytes()
+                ids = self.older.get(p)
+                if ids is None:
+                    ids = np.array(self.backtrack(p.encode()), "<u4").tobytes()
                 if len(p) <= LONG:
-                    if len(known) >= PIECES:
-                        known.clear()
+                    if len(known) >= PIECES:  # what was used of late is found again among the older ones
+                        self.older, self.pieces = known, {}
+                        known = self.pieces
                     known[p] = ids
             parts.append(ids)
         return b"".join(parts)
