@@ -54,22 +54,23 @@ def overall_sentiment(arc: DataFrame) -> DataFrame:
 
 
 def phrases(timed: DataFrame, least: int = 2, sizes: tuple[int, int] = (3, 6), stop: list[str] | None = None) -> DataFrame:
-    """video_id, phrase, n, first_idx: word runs said `least` times or more, without those of over 60 % stop words."""
+    """video_id, phrase, n, first_idx, first_pos: word runs said `least` times or more, without those of over 60 % stop words."""
     stop_col = F.array(*map(F.lit, stop or lex.PHRASE_STOP_WORDS))
 
     def runs(w):
         each = lambda n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(w, i, n))
         return F.concat(*(each(n) for n in range(sizes[0], sizes[1] + 1)))
 
-    g = timed.select("video_id", "idx", F.explode(T.let(T.words(F.lower("sentence")), runs)).alias("g"))
+    g = timed.select("video_id", "idx", F.posexplode(T.let(T.words(F.lower("sentence")), runs)).alias("pos", "g"))
     g = g.filter(F.size(F.filter("g", lambda w: F.array_contains(stop_col, w))) * 10 <= F.size("g") * 6)
-    g = g.select("video_id", "idx", F.array_join("g", " ").alias("phrase"))
-    return g.groupBy("video_id", "phrase").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx")).filter(F.col("n") >= least)
+    g = g.select("video_id", F.struct("idx", "pos").alias("at"), F.array_join("g", " ").alias("phrase"))
+    c = g.groupBy("video_id", "phrase").agg(F.count("*").alias("n"), F.min("at").alias("f")).filter(F.col("n") >= least)
+    return c.select("video_id", "phrase", "n", F.col("f.idx").alias("first_idx"), F.col("f.pos").alias("first_pos"))
 
 
 def repeated(found: DataFrame, most: int = 10) -> DataFrame:
     """video_id, phrases: the most frequent phrases none of which contains another; a fold over each video's sorted list."""
-    g = found.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first_idx", "phrase"))).alias("l"))
+    g = found.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first_idx", "first_pos", "phrase"))).alias("l"))
     fold = F.aggregate(
         F.col("l.phrase"),
         F.array().cast("array<string>"),

@@ -46,11 +46,11 @@ def overall_sentiment(s, d):
 
 
 def ngram_repetition(s, d):
-    return speech.phrases(_timed(s, d))
+    return speech.phrases(_timed(s, d)).drop("first_pos")
 
 
 def repeated_phrases(s, d):
-    return speech.repeated(ngram_repetition(s, d)).select("video_id", F.array_join("phrases", "|").alias("phrases"))
+    return speech.repeated(speech.phrases(_timed(s, d))).select("video_id", F.array_join("phrases", "|").alias("phrases"))
 
 
 def insight_topk(s, d):
