@@ -214,6 +214,19 @@ def _bytes(col: pa.Array) -> np.ndarray:
     return data.reshape(len(offs) - 1, FINE)
 
 
+#: Rows of a broadcast table of key hashes, whatever the input's size; past some millions of keys it rules nothing out any more.
+SIEVE = 1 << 18
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """The hashes of keys (d, th), SIEVE at most: rows that meet none of them have none of the keys, and needn't be shuffled to find out."""
+    return F.broadcast(keys.select(_sifted().alias("bk")).distinct())
+
+
+def _sifted():
+    return F.pmod(F.xxhash64("d", "th"), F.lit(SIEVE))
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -299,7 +312,9 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
     buckets = save(bands.groupBy("bh").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).filter("c > 1"), "buckets")
     shared = save(bands.join(buckets, "bh"), "shared")
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep.d", "rep.th")
-    sets = save(sets_of(_keyed(docs).join(wanted, ["d", "th"]), counted=counted).dropDuplicates(["node"]), "sets")
+    wanted = save(wanted, "wanted")
+    maybe = _keyed(docs).withColumn("bk", _sifted()).join(sieve(wanted), "bk", "left_semi")
+    sets = save(sets_of(maybe.join(wanted, ["d", "th"]), counted=counted).dropDuplicates(["node"]), "sets")
     drop(buckets)
     settle(spark)
 
@@ -349,11 +364,16 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group: that of the smallest id, and of rows alike in id and text one. Rows without words all stay but for such repeats."""
-    c = classes(docs, **options)
+    c = save(classes(docs, **options), "classes")
+    settle(docs.sparkSession)
     # Texts of one class under one id are told apart by their hash: the smallest stays.
     only = c.filter("d = class_id").groupBy("d").agg(F.min("th").alias("th"), F.max("copies").alias("copies"))
     cols = [F.col(f"`{x}`") for x in docs.columns]
     mine = docs.select(F.struct(*cols).alias("row"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("th"))
-    kept = mine.join(only, ["d", "th"])
-    once, often = kept.filter("copies = 1"), kept.filter("copies > 1")
-    return once.select("row.*").unionByName(often.dropDuplicates(["d", "th"]).select("row.*"))
+    only = save(only, "only")
+    # Most rows stay and stand alone: those that share no hash with a key of another kind pass without a shuffle.
+    others = sieve(c.select("d", "th").join(only.filter("copies = 1").select("d", "th"), ["d", "th"], "left_anti"))
+    mine = mine.withColumn("bk", _sifted())
+    kept = mine.join(others, "bk", "left_semi").join(only, ["d", "th"])
+    once, often = kept.filter("copies = 1"), kept.filter("copies > 1").dropDuplicates(["d", "th"])
+    return mine.join(others, "bk", "left_anti").select("row.*").unionByName(once.select("row.*")).unionByName(often.select("row.*"))
