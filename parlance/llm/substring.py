@@ -92,24 +92,32 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     """d, th, spans (array of a, b): for each text with later occurrences, the runs of words [a, b) that an earlier place has too."""
     ship(docs.sparkSession)
     u = save(units(docs, gram, window), "units")
-    first = u.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "pos")).alias("f")).filter("n > 1").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.pos").alias("fpos"))
+    # Most units stand alone. Counts need only their hashes; whole units are shuffled once, and what repeats is little.
+    many = save(u.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated")
+    again = save(u.join(many.hint("merge"), "h", "left_semi"), "again")
+    drop(u, many)
+    settle(docs.sparkSession)
+    first = again.groupBy("h").agg(F.min(F.struct("d", "th", "pos")).alias("f")).select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.pos").alias("fpos"))
     first = save(first, "first")  # a join whose sides are both plain exchanges can be split where a unit is hot
     own = (F.col("d") == F.col("fd")) & (F.col("th") == F.col("fth"))
-    later = u.join(first, "h").filter(~own | (F.col("pos") - F.col("fpos") >= gram)).select("d", "th", "pos", "fd", "fth", (F.col("pos") - F.col("fpos")).alias("shift")).distinct()
+    later = again.join(first, "h").filter(~own | (F.col("pos") - F.col("fpos") >= gram)).select("d", "th", "pos", "fd", "fth", (F.col("pos") - F.col("fpos")).alias("shift")).distinct()
     w = Window.partitionBy("d", "th").orderBy("pos")
     same = (F.lag("fd").over(w) == F.col("fd")) & (F.lag("fth").over(w) == F.col("fth")) & (F.lag("shift").over(w) == F.col("shift")) & (F.col("pos") - F.lag("pos").over(w) <= gram)
     runs = later.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     runs = save(runs.groupBy("d", "th", "run").agg(F.min("pos").alias("a"), (F.max("pos") + gram).alias("b"), F.first("fd").alias("fd"), F.first("fth").alias("fth"), F.first("shift").alias("shift")), "runs")
-    drop(u, first)
+    drop(again, first)
     settle(docs.sparkSession)
 
     side = lambda s, e: F.struct(F.lit(s).alias("side"), e.cast("int").alias("edge"), (e - F.col("shift")).cast("int").alias("fedge"))
     ends = runs.select("d", "th", "run", "fd", "fth", F.explode(F.array(side(0, F.col("a")), side(1, F.col("b")))).alias("e")).select("d", "th", "run", "fd", "fth", "e.*")
     asked = ends.select("d", "th", "side", "edge").union(ends.select("fd", "fth", "side", "fedge")).distinct()
-    asked = asked.groupBy("d", "th").agg(F.collect_list(F.struct("side", "edge")).alias("edges"))
+    asked = save(asked.groupBy("d", "th").agg(F.collect_list(F.struct("side", "edge")).alias("edges")), "asked")
     reach = window - 1
-    texts = _keyed(docs).join(asked, ["d", "th"])
+    # Texts meet the little that is known of them in one way at every size: by an exchange, without a sort of the texts.
+    texts = _keyed(docs).join(asked.hint("shuffle_hash"), ["d", "th"])
     ctx = save(contexts(texts, reach).dropDuplicates(["d", "th", "side", "edge"]), "contexts")
+    drop(asked)
+    settle(docs.sparkSession)
     theirs = ctx.select(F.col("d").alias("fd"), F.col("th").alias("fth"), "side", F.col("edge").alias("fedge"), F.col("ctx").alias("fctx"))
     both = ends.join(ctx, ["d", "th", "side", "edge"]).join(theirs, ["fd", "fth", "side", "fedge"])
     stop = F.array_position(F.zip_with("ctx", "fctx", lambda x, y: x.eqNullSafe(y)), False)
@@ -132,7 +140,7 @@ def substring_dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, wi
     marks = repeats(docs, gram=gram, window=window)
     kept = [c for c in docs.columns if c not in ("spans", "n_removed")]
     src = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("th"))
-    src = src.join(marks, ["d", "th"], "left").select("row.*", F.col("spans").alias("_spans"))
+    src = src.join(marks.hint("shuffle_hash"), ["d", "th"], "left").select("row.*", F.col("spans").alias("_spans"))
     at = kept.index("text")
     schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.expr("cast(null as array<struct<start: long, end: long>>)").alias("spans"), F.lit(0).cast("long").alias("n_removed")).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
