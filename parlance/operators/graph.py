@@ -78,3 +78,12 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
         front = both.join(front, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
         seen = seen.union(front)
     return seen
+
+
+def statistics(ents: DataFrame, edges: DataFrame, references: DataFrame) -> DataFrame:
+    """One row: totals of entities (by type), relationships, cross-references and videos, and entities a video."""
+    e = ents.agg(F.count_distinct("entity_id").alias("entities"), F.count_distinct("video_id").alias("videos"))
+    for kind in ("concept", "term", "text"):
+        e = e.crossJoin(ents.filter(F.col("entity_type") == kind).agg(F.count_distinct("entity_id").alias(f"{kind}s")))  # one row each
+    e = e.crossJoin(edges.agg(F.count("*").alias("relationships"))).crossJoin(references.agg(F.count("*").alias("cross_references")))
+    return e.withColumn("entities_per_video", F.round(F.col("entities") / F.greatest("videos", F.lit(1)), 6))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance import lexicons as lex
 from parlance.functions import text as T
+from parlance.operators.hooks import hashed
 
 
 def top_tokens(text, k: int = 15, stop: list[str] | None = None):
@@ -33,6 +37,25 @@ def boundary_scores(docs: DataFrame, least: int = 3, stop: list[str] | None = No
     return e.select("video_id", "idx", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("similarity"))
 
 
+def embedding_scores(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashed, size: int = 3) -> DataFrame:
+    """video_id, idx, similarity: cosine of the mean vectors of up to `size` sentences before and from each place on. No shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for v, s in zip(batch["video_id"], batch["s"], strict=True):
+                w = max(1, min(size, len(s) // 4))
+                at = np.arange(w, len(s) - w)
+                if not len(at):
+                    continue
+                e = np.asarray(embed(list(s)), float)
+                sums = np.vstack([np.zeros(e.shape[1]), e.cumsum(axis=0)])
+                a, b = (sums[at] - sums[at - w]) / w, (sums[at + w] - sums[at]) / w
+                cos = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1) + 1e-8)
+                yield pd.DataFrame({"video_id": v, "idx": at, "similarity": cos.round(6)})
+
+    return docs.select("video_id", T.sentences(F.col("text")).alias("s")).mapInPandas(run, "video_id string, idx int, similarity double")
+
+
 def boundaries(scores: DataFrame, least: int = 3, below: float = 0.2) -> DataFrame:
     """video_id, starts: places of low similarity, each at least `least` sentences behind the last that counted."""
     g = scores.filter(F.col("similarity") < below).groupBy("video_id").agg(F.array_sort(F.collect_list("idx")).alias("c"))

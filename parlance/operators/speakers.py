@@ -58,3 +58,17 @@ def emotions(t: DataFrame, lexicon: dict[str, list[str]] | None = None, bright:
 def emotion_summary(e: DataFrame) -> DataFrame:
     """emotion, n, average."""
     return e.groupBy("emotion").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("average"))
+
+
+def silence_turns(videos: DataFrame, silences: DataFrame, shortest: float = 0.5, pause: float = 1.5) -> DataFrame:
+    """video_id, idx, speaker_id, start, end: two speakers in turn, parted by the ends of silences (video_id, s) in videos (video_id, duration).
+
+    Parts under `shortest` seconds go; the speaker changes where a part that stays follows one of over `pause` seconds,
+    kept or not. A video without silences is one turn.
+    """
+    v = videos.select("video_id", F.coalesce(F.col("duration").cast("double"), F.lit(0.0)).alias("d"))
+    b = v.select("video_id", F.lit(0).alias("k"), F.lit(0.0).alias("t")).union(silences.filter("s is not null").select("video_id", F.lit(1), "s")).union(v.select("video_id", F.lit(2), "d"))
+    w = Window.partitionBy("video_id").orderBy("k", "t")
+    p = b.select("video_id", (F.row_number().over(w) - 1).alias("idx"), F.col("t").alias("start"), F.lead("t").over(w).alias("end"), F.coalesce(F.col("t") - F.lag("t").over(w) > pause, F.lit(False)).cast("int").alias("turn"))
+    n = F.sum("turn").over(Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    return p.filter(F.col("end") - F.col("start") >= shortest).withColumn("n", n).select("video_id", "idx", F.format_string("SPEAKER_%02d", F.col("n") % 2).alias("speaker_id"), "start", "end")
