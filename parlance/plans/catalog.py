@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance import lexicons as lex
 from parlance.functions import text as T
-from parlance.operators import graph, segments, speakers, speech, vectors
+from parlance.operators import graph, segments, speakers, speech, summaries, vectors, visual
 from parlance.sources.tables import table, transcripts, turns
 from parlance.streaming import limits
 
@@ -215,10 +215,92 @@ def abuse_block(s, d):
     return limits.abuse(_requests(s, d), window=864_000.0, most=3, block=864_000.0)
 
 
+def slide_runs(s, d):
+    t = turns(s, d).select("video_id", F.col("idx").cast("double").alias("timestamp"), "text", (F.length(F.coalesce("text", F.lit(""))) % 10 / F.lit(10.0)).alias("confidence"))
+    return visual.distinct_slides(t, 0.2).select("video_id", "slide", "timestamp", "confidence")
+
+
+def _lengths(s, d):
+    return _timed(s, d).groupBy("video_id").agg(F.max("end").alias("duration"))
+
+
+def frame_times(s, d):
+    return visual.frame_times(_lengths(s, d), 2.0, 50)
+
+
+def silence_turns(s, d):
+    t = _turns(s, d)
+    return speakers.silence_turns(t.groupBy("video_id").agg(F.max("end").alias("duration")), t.filter("idx % 3 = 0").select("video_id", F.col("end").alias("s")))
+
+
+def embedding_boundaries(s, d):
+    return segments.boundaries(segments.embedding_scores(transcripts(s, d))).withColumn("starts", F.array_join(F.transform("starts", lambda x: x.cast("string")), ","))
+
+
+def graph_statistics(s, d):
+    return graph.statistics(_entities(s, d), _edges(s, d), cross_references(s, d))
+
+
+def _minutes(s, d):
+    """Chapters of a minute, so that SQL can state what goes on from there."""
+    t = _timed(s, d).withColumn("chapter_id", F.floor(F.col("start") / 60).cast("int"))
+    g = t.groupBy("video_id", "chapter_id").agg(F.min("start").alias("start_time"), F.max("end").alias("end_time"), F.min(F.struct("idx", "sentence"))["sentence"].alias("summary"))
+    return g.select("video_id", "chapter_id", F.concat(F.lit("Part "), F.col("chapter_id") + 1).alias("title"), "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"), "summary", F.array("chapter_id").alias("topic_ids"))
+
+
+def chapter_signals(s, d):
+    t = _timed(s, d)
+    points = lambda at: t.filter(at).select("video_id", F.col("start").alias("s"))
+    return summaries.enhanced_chapters(_minutes(s, d), points("idx % 4 = 1"), points("idx % 7 = 3")).drop("summary", "topic_ids")
+
+
+def chapter_sentiment(s, d):
+    return summaries.chapter_sentiment(_minutes(s, d), sentiment_arc(s, d))
+
+
+def chapter_insights(s, d):
+    return summaries.within_chapters(_minutes(s, d), speech.insights(_timed(s, d), PATTERNS)).select("video_id", "chapter_id", "idx", "type")
+
+
+def _videos(s, d):
+    return transcripts(s, d).select("video_id", F.concat(F.lit("Talk "), "video_id").alias("title")).join(_lengths(s, d), "video_id", "left")
+
+
+def _grades(s, d):
+    return summaries.grades(_videos(s, d), _minutes(s, d), speech.insights(_timed(s, d), PATTERNS), sentiment_arc(s, d))
+
+
+def summary_grades(s, d):
+    return _grades(s, d)
+
+
+def _actions(s, d):
+    return speech.insights(_timed(s, d), PATTERNS).filter("type = 'conclusion'").select("video_id", "text", F.lit("medium").alias("priority"), "start", "confidence")
+
+
+def insight_quality(s, d):
+    return summaries.insight_quality(transcripts(s, d), speech.insights(_timed(s, d), PATTERNS), _actions(s, d), sentiment_arc(s, d))
+
+
+def executive_summary(s, d):
+    return summaries.executive_summary(_videos(s, d), _minutes(s, d), speech.insights(_timed(s, d), PATTERNS), _actions(s, d), overall_sentiment(s, d))
+
+
+def summary_markdown(s, d):
+    said = speech.quotes(_timed(s, d), backreference=False, strong=STRONG)
+    return summaries.markdown(_videos(s, d), executive_summary(s, d), overall_sentiment(s, d), _grades(s, d), _minutes(s, d), speech.insights(_timed(s, d), PATTERNS), _actions(s, d), said, sentiment_arc(s, d))
+
+
+def summary_json(s, d):
+    found = speech.insights(_timed(s, d), PATTERNS)
+    return summaries.as_json(_videos(s, d), executive_summary(s, d), overall_sentiment(s, d), _grades(s, d), {"chapters": _minutes(s, d), "key_insights": found.select("video_id", "rank", "type", "text", "start", "end", "importance", "confidence"), "action_items": _actions(s, d)})
+
+
 QUERIES = [
     sentence_split, keyword_topk, timed_sentences, sentiment_arc, overall_sentiment, ngram_repetition, repeated_phrases, insight_topk, insight_search, quotes, topic_boundary_scores,
     topics, chapters, time_formats, nearest_signal, chunks_fixed, language_by_script, store_stats, vector_topk, vector_filtered, vector_topk_batch, retrieval_confidence, metadata_search, entities, entity_merge, cooccurrence_edges,
     degree_topk, cross_references, graph_bfs, speaker_profiles, dominant_speaker, speaker_at_time, align_text, emotions, emotion_summary, rate_limit, abuse_block,
+    slide_runs, frame_times, silence_turns, embedding_boundaries, graph_statistics, chapter_signals, chapter_sentiment, chapter_insights, summary_grades, insight_quality, executive_summary, summary_markdown, summary_json,
 ]
 
 
@@ -312,6 +394,16 @@ mn AS (SELECT *, greatest(len({WORDS("lower(text)")}), 1) AS n FROM tt WHERE len
 mm AS (SELECT video_id, idx, list_sort([{EMO}], 'DESC')[1] AS m FROM mn),
 em AS (SELECT video_id, idx, CASE WHEN m.s > 0 THEN m.e ELSE 'neutral' END AS emotion, round(CASE WHEN m.s > 0 THEN m.s ELSE 0.5 END, 6) AS score,
        CASE WHEN m.s = 0 THEN 'neutral' WHEN m.e IN ('joy', 'wonder') THEN 'positive' ELSE 'negative' END AS sentiment FROM mm)"""
+MINUTES = """,
+cp AS (SELECT video_id, CAST(floor(start / 60) AS INTEGER) AS chapter_id, min(start) AS start_time, max("end") AS end_time, arg_min(sentence, idx) AS summary FROM ti GROUP BY ALL)"""
+PARTS = """,
+vl AS (SELECT v.video_id, v.t, coalesce(max("end"), 0) AS duration FROM v LEFT JOIN ti ON v.video_id = ti.video_id GROUP BY ALL),
+pc AS (SELECT video_id, count(*) AS chapter_count, sum(end_time - start_time) AS covered FROM cp GROUP BY 1),
+pi AS (SELECT video_id, count(*) AS n, count(DISTINCT type) AS types, avg(importance) AS imp, avg(confidence) AS conf, count(*) FILTER (type = 'conclusion') AS acts FROM ii GROUP BY 1),
+pf AS (SELECT video_id, count(*) AS windows, sum("end" - start) AS felt FROM ar GROUP BY 1),
+pp AS (SELECT vl.video_id, t, duration, coalesce(chapter_count, 0) AS chapter_count, coalesce(n, 0) AS n, coalesce(types, 0) AS types, coalesce(imp, 0) AS imp, coalesce(conf, 0) AS conf, coalesce(acts, 0) AS acts, coalesce(windows, 0) AS windows,
+       CASE WHEN duration > 0 THEN least(1.0, coalesce(covered, 0) / duration) ELSE 0 END AS cover, CASE WHEN duration > 0 THEN least(1.0, coalesce(felt, 0) / duration) ELSE 0 END AS feel
+       FROM vl LEFT JOIN pc ON pc.video_id = vl.video_id LEFT JOIN pi ON pi.video_id = vl.video_id LEFT JOIN pf ON pf.video_id = vl.video_id)"""
 COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 HMS = "lpad(CAST(({0}) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({0}) % 3600000 // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({0}) % 60000 // 1000 AS VARCHAR), 2, '0') || '{1}' || lpad(CAST(({0}) % 1000 AS VARCHAR), 3, '0')"
 
@@ -393,5 +485,70 @@ def oracle_sql() -> dict[str, str]:
         "speaker_at_time": w(TURN, ', q AS (SELECT DISTINCT video_id, round((start + "end") / 2, 3) AS "at" FROM tt), m AS (SELECT q.video_id, q.at, arg_min(speaker_id, idx) AS speaker_id FROM q JOIN tt ON q.video_id = tt.video_id AND q.at BETWEEN start AND "end" GROUP BY ALL) SELECT q.video_id, q.at, m.speaker_id FROM q LEFT JOIN m ON q.video_id = m.video_id AND q.at = m.at'),
         "align_text": w(TURN, ', q AS (SELECT video_id, idx AS id, start + 0.5 AS a, "end" + 0.5 AS b FROM tt WHERE idx % 2 = 0) SELECT q.video_id, id, md5(string_agg(text, \' \' ORDER BY idx)) AS text_md5, CAST(count(*) AS INTEGER) AS turns FROM q JOIN tt ON q.video_id = tt.video_id AND start < b AND "end" > a GROUP BY 1, 2'),
         "emotions": w(TURN + EMOTION, "SELECT * FROM em"),
+        "slide_runs": r(
+            rf"""s AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, turn::DOUBLE AS timestamp, (length(coalesce(text, '')) % 10) / 10::DOUBLE AS confidence, list_distinct({WORDS("lower(coalesce(text, ''))")}) AS w,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+            k AS (SELECT *, 0 AS slide FROM s WHERE i = 1 UNION ALL
+                  SELECT video_id, CASE WHEN far OR c2 > c1 THEN t2 ELSE t1 END, CASE WHEN far OR c2 > c1 THEN c2 ELSE c1 END, CASE WHEN far OR c2 > c1 THEN w2 ELSE w1 END, i, CASE WHEN far THEN slide + 1 ELSE slide END
+                  FROM (SELECT s.video_id, s.i, k.slide, k.timestamp AS t1, s.timestamp AS t2, k.confidence AS c1, s.confidence AS c2, k.w AS w1, s.w AS w2,
+                        CASE WHEN len(k.w) = 0 OR len(s.w) = 0 THEN 0 ELSE len(list_intersect(k.w, s.w))::DOUBLE / len(list_distinct(list_concat(k.w, s.w))) END < 0.2 AS far
+                        FROM k JOIN s ON s.video_id = k.video_id AND s.i = k.i + 1))""",
+            "SELECT video_id, slide, arg_max(timestamp, i) AS timestamp, arg_max(confidence, i) AS confidence FROM k GROUP BY 1, 2",
+        ),
+        "frame_times": w(
+            DOC,
+            """, l AS (SELECT video_id, max("end") AS d FROM ti GROUP BY 1), m AS (SELECT video_id, d, CASE WHEN d / 2 > 50 THEN d / 50 ELSE 2::DOUBLE END AS step FROM l),
+            n AS (SELECT video_id, step, unnest(range(CAST(least(ceil(d / step), 50) AS BIGINT))) AS frame FROM m) SELECT video_id, CAST(frame AS INTEGER) AS frame, round(frame * step, 6) AS timestamp FROM n""",
+        ),
+        "silence_turns": w(
+            TURN,
+            """, b AS (SELECT DISTINCT video_id, 0 AS k, 0::DOUBLE AS t FROM tt UNION ALL SELECT video_id, 1, "end" FROM tt WHERE idx % 3 = 0 UNION ALL SELECT video_id, 2, max("end") FROM tt GROUP BY 1),
+            p AS (SELECT video_id, CAST(row_number() OVER w - 1 AS INTEGER) AS idx, t AS start, lead(t) OVER w AS "end", CASE WHEN t - lag(t) OVER w > 1.5 THEN 1 ELSE 0 END AS turn FROM b WINDOW w AS (PARTITION BY video_id ORDER BY k, t))
+            SELECT video_id, idx, 'SPEAKER_0' || (sum(turn) OVER (PARTITION BY video_id ORDER BY idx) % 2)::BIGINT AS speaker_id, start, "end" FROM p WHERE "end" - start >= 0.5""",
+        ),
+        "graph_statistics": w(
+            DOC + ENT + EDGE,
+            """, n AS (SELECT video_id, count(*) AS n FROM ee GROUP BY 1), p AS (SELECT a.video_id AS x, b.video_id AS y, count(*) AS shared FROM ee a JOIN ee b ON a.entity_id = b.entity_id AND a.video_id < b.video_id GROUP BY ALL HAVING count(*) >= 2),
+            c AS (SELECT count(*) AS n FROM p JOIN n i ON i.video_id = x JOIN n j ON j.video_id = y WHERE round(shared::DOUBLE / (i.n + j.n - shared), 6) >= 0.3), k AS (SELECT entity_type, entity_id, video_id FROM ee)
+            SELECT count(DISTINCT entity_id) AS entities, count(DISTINCT video_id) AS videos, count(DISTINCT entity_id) FILTER (entity_type = 'concept') AS concepts, count(DISTINCT entity_id) FILTER (entity_type = 'term') AS terms,
+            count(DISTINCT entity_id) FILTER (entity_type = 'text') AS texts, (SELECT count(*) FROM ge) AS relationships, (SELECT n FROM c) AS cross_references, round(count(DISTINCT entity_id) / greatest(count(DISTINCT video_id), 1), 6) AS entities_per_video FROM k""",
+        ),
+        "chapter_signals": w(
+            DOC + MINUTES,
+            """, sc AS (SELECT video_id, start AS s FROM ti WHERE idx % 4 = 1), sp AS (SELECT video_id, start AS s FROM ti WHERE idx % 7 = 3),
+            na AS (SELECT cp.video_id, chapter_id, s, row_number() OVER (PARTITION BY cp.video_id, chapter_id ORDER BY round(abs(start_time - s), 6), s) AS n FROM cp JOIN sc ON cp.video_id = sc.video_id AND abs(start_time - s) <= 10),
+            nb AS (SELECT cp.video_id, chapter_id, s, row_number() OVER (PARTITION BY cp.video_id, chapter_id ORDER BY round(abs(end_time - s), 6), s) AS n FROM cp JOIN sc ON cp.video_id = sc.video_id AND abs(end_time - s) <= 10),
+            m AS (SELECT cp.*, coalesce(na.s, start_time) AS a, nb.s AS z FROM cp LEFT JOIN na ON na.video_id = cp.video_id AND na.chapter_id = cp.chapter_id AND na.n = 1 LEFT JOIN nb ON nb.video_id = cp.video_id AND nb.chapter_id = cp.chapter_id AND nb.n = 1),
+            q AS (SELECT *, CASE WHEN z > a THEN z ELSE end_time END AS b FROM m),
+            x AS (SELECT q.video_id, chapter_id, count(*) AS n FROM q JOIN sc ON q.video_id = sc.video_id AND s BETWEEN a AND b GROUP BY 1, 2), y AS (SELECT q.video_id, chapter_id, count(*) AS n FROM q JOIN sp ON q.video_id = sp.video_id AND s BETWEEN a AND b GROUP BY 1, 2)
+            SELECT q.video_id, q.chapter_id, 'Part ' || (q.chapter_id + 1) AS title, a AS start_time, b AS end_time, b - a AS duration, coalesce(x.n, 0) AS scene_change_count, y.n IS NOT NULL AS has_speaker_change,
+            round(least(1.0, 0.5::DOUBLE + CASE WHEN x.n > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN y.n > 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN end_time - start_time >= 60 THEN 0.1::DOUBLE WHEN end_time - start_time >= 30 THEN 0.05::DOUBLE ELSE 0 END), 6) AS confidence,
+            greatest(0.0, a - 2) AS buffer_start, b + 2 AS buffer_end FROM q LEFT JOIN x ON x.video_id = q.video_id AND x.chapter_id = q.chapter_id LEFT JOIN y ON y.video_id = q.video_id AND y.chapter_id = q.chapter_id""",
+        ),
+        "chapter_sentiment": w(DOC + ARC + MINUTES, """, g AS (SELECT cp.video_id, chapter_id, round(avg(score), 6) AS sentiment_score FROM cp JOIN ar ON ar.video_id = cp.video_id AND ar.start BETWEEN start_time AND end_time GROUP BY 1, 2)
+            SELECT *, CASE WHEN sentiment_score > 0.15 THEN 'positive' WHEN sentiment_score < -0.15 THEN 'negative' ELSE 'neutral' END AS sentiment FROM g"""),
+        "chapter_insights": w(DOC + _insights() + MINUTES, "SELECT cp.video_id, chapter_id, ii.idx, type FROM cp JOIN ti ON ti.video_id = cp.video_id AND ti.start BETWEEN start_time AND end_time JOIN ii ON ii.video_id = ti.video_id AND ii.idx = ti.idx"),
+        "summary_grades": w(
+            DOC + ARC + _insights() + MINUTES + PARTS,
+            """, sg AS (SELECT *, round(0.25::DOUBLE * cover + 0.2::DOUBLE * (types / 9) + 0.2::DOUBLE * conf + 0.15::DOUBLE * feel + 0.2::DOUBLE * imp, 6) AS score FROM pp)
+            SELECT video_id, chapter_count, n AS insight_count, round(cover, 6) AS chapter_coverage, round(n / greatest(duration / 60, 1.0), 6) AS insight_density, round(types / 9, 6) AS type_diversity, round(feel, 6) AS sentiment_coverage,
+            round(imp, 6) AS avg_importance, round(conf, 6) AS avg_confidence, score, CASE WHEN score >= 0.8 THEN 'A' WHEN score >= 0.6 THEN 'B' WHEN score >= 0.4 THEN 'C' WHEN score >= 0.2 THEN 'D' ELSE 'F' END AS grade FROM sg""",
+        ),
+        "insight_quality": w(
+            DOC + ARC + _insights() + MINUTES + PARTS,
+            f""", iq AS (SELECT *, n / greatest(len({WORDS("t")}) / 100, 1.0) AS dense FROM pp)
+            SELECT video_id, round(CASE WHEN t = '' THEN 0 ELSE least(1.0, (least(1.0, types / 5) + CASE WHEN dense BETWEEN 0.5 AND 5 THEN 1.0 WHEN dense > 0.1 THEN 0.5 ELSE 0 END + least(1.0, acts / 3) + least(1.0, windows / 5) + conf) / 5) END, 6) AS quality FROM iq""",
+        ),
+        "executive_summary": w(
+            DOC + ARC + _insights() + MINUTES,
+            f""", o AS (SELECT video_id, round(avg(score), 6) AS score FROM ar GROUP BY 1),
+            a AS (SELECT video_id, count(*) AS n, string_agg('• Part ' || (chapter_id + 1) || ': ' || substring(summary, 1, 100), chr(10) ORDER BY chapter_id) FILTER (k <= 5) AS x FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY chapter_id) AS k FROM cp) GROUP BY 1),
+            b AS (SELECT video_id, string_agg('• ' || substring(sentence, 1, 100), chr(10) ORDER BY rank) AS x FROM ii WHERE rank <= 3 GROUP BY 1),
+            c AS (SELECT video_id, string_agg('• ' || substring(sentence, 1, 80), chr(10) ORDER BY k) AS x FROM (SELECT ii.*, row_number() OVER (PARTITION BY ii.video_id ORDER BY ti.start, ii.sentence) AS k FROM ii JOIN ti ON ti.video_id = ii.video_id AND ti.idx = ii.idx WHERE type = 'conclusion') WHERE k <= 3 GROUP BY 1),
+            e AS (SELECT v.video_id, '"Talk ' || v.video_id || '" covers ' || coalesce(a.n, 0) || ' main sections.' || coalesce(chr(10) || chr(10) || 'Key sections:' || chr(10) || a.x, '') || coalesce(chr(10) || chr(10) || 'Key takeaways:' || chr(10) || b.x, '')
+                  || coalesce(chr(10) || chr(10) || 'Action items:' || chr(10) || c.x, '') || chr(10) || chr(10) || 'Overall tone: ' || CASE WHEN o.score IS NULL THEN 'neutral' ELSE replace({LABEL.format("o.score", 0.3, 0.1)}, '_', ' ') END AS x
+                  FROM v LEFT JOIN a ON a.video_id = v.video_id LEFT JOIN b ON b.video_id = v.video_id LEFT JOIN c ON c.video_id = v.video_id LEFT JOIN o ON o.video_id = v.video_id)
+            SELECT video_id, CASE WHEN length(x) > 500 THEN substring(x, 1, 497) || '...' ELSE x END AS executive_summary FROM e""",
+        ),
         "emotion_summary": w(TURN + EMOTION, "SELECT emotion, count(*) AS n, round(avg(score), 5) AS average FROM em GROUP BY 1"),
     }
