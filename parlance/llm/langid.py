@@ -84,11 +84,14 @@ class Model:
 def sample(docs: DataFrame, *, rows: int = 2400, words: int = 400, buckets: int = 1 << 15, salt: int = 17) -> DataFrame:
     """lang, h, idx, wt: features of at most `rows` rows, spread evenly over the languages by a hash of doc_id.
 
-    Of a text of more than `words` words, every j-th is used for training, from its start to its end.
+    Of a text of more than `words` words, every j-th is used for training, from its start to its end. As `rows` rows can
+    show no more than `rows` languages, those of most rows are taken (ties by name): the counts that are broadcast have
+    at most that many rows, and no text is shuffled by its language, of which one may hold most of the corpus.
     """
     ship(docs.sparkSession)
     fit = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
-    many = fit.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), "n", F.count("*").over(Window.partitionBy()).alias("k"))
+    many = fit.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(rows)
+    many = F.broadcast(many.select("l", "n", F.count("*").over(Window.partitionBy()).alias("k")))
     h = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30))
     some = fit.withColumn("h", h).join(many, F.col("lang") == F.col("l")).filter(F.col("h") < F.lit(float(1 << 30)) * rows / F.col("k") / F.col("n"))
 

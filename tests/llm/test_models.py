@@ -27,6 +27,14 @@ def test_no_letter_is_und(spark, docs):
     assert langid.identify(frame(spark, ODD).limit(0), model).count() == 0
 
 
+def test_languages_of_most_rows_are_learned(spark):
+    rows = [(i, f"some words {i} of it", ("aa", "bb", "cc")[i % 3 if i < 200 else i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df, rows=2)
+    assert "strategy=broadcast" in got._jdf.queryExecution().analyzed().toString()  # texts stay where they are
+    assert {r.lang for r in langid.sample(df, rows=300).collect()} == {"aa", "bb", "cc"} and {r.lang for r in got.collect()} <= {"aa", "bb"}
+
+
 def brute(text):
     import re
 
