@@ -298,10 +298,11 @@ def apart(rows: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> D
 
 
 def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small: int = 48) -> DataFrame:
-    """d, th, class_id, copies: one row for each distinct pair of id and text hash in docs (doc_id, text).
+    """d, th, class_id, class_th, copies: one row for each distinct pair of id and text hash in docs (doc_id, text).
 
-    class_id: the smallest doc_id of the group (null ids count as the lowest number). A text without a word, null
-    included, is in no group and has its own id; copies: how many rows share d and th. Other columns are ignored.
+    class_id, class_th: the smallest pair of doc_id and text hash of the group (null ids count as the lowest number);
+    both name it, as unrelated texts can share an id. A text without a word, null included, is in no group and has its
+    own pair; copies: how many rows share d and th. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -348,26 +349,30 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
         labels = components(links)
 
     settle(spark)
-    ids = labelled(nodes.select("node", F.col("rep.d").alias("d0")), "node", "label")
-    named = ids.groupBy("label").agg(F.min("d0").alias("class_id"))
-    by_node = ids.select("node", "label").join(named, "label").select("node", "class_id")
+    ids = labelled(nodes.select("node", "rep"), "node", "label")
+    named = ids.groupBy("label").agg(F.min("rep").alias("rep"))
+    by_node = ids.select("node", "label").join(named, "label").select("node", F.col("rep.d").alias("class_id"), F.col("rep.th").alias("class_th"))
     every = rows.groupBy("d", "th").agg(F.count("*").alias("copies"), F.first("node").alias("node"))
-    return every.join(by_node, "node", "left").select("d", "th", F.coalesce("class_id", "d").alias("class_id"), "copies")
+    return every.join(by_node, "node", "left").select("d", "th", F.coalesce("class_id", "d").alias("class_id"), F.coalesce("class_th", "th").alias("class_th"), "copies")
+
+
+def _chosen():
+    """Of classes(): the one row that stays of its group."""
+    return (F.col("d") == F.col("class_id")) & (F.col("th") == F.col("class_th"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id, kept of each distinct document; kept: its id is the smallest of its group."""
+    """doc_id, class_id, kept, copies, class_hash of each distinct document; class_id and class_hash name its group, of which one is kept."""
     c = classes(docs, **options)
     real = lambda x: F.when(F.col(x) != -(2**63), F.col(x))
-    return c.select(real("d").alias("doc_id"), real("class_id").alias("class_id"), (F.col("d") == F.col("class_id")).alias("kept"), "copies")
+    return c.select(real("d").alias("doc_id"), real("class_id").alias("class_id"), _chosen().alias("kept"), "copies", F.col("class_th").alias("class_hash"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group: that of the smallest id, and of rows alike in id and text one. Rows without words all stay but for such repeats."""
+    """docs with one row of each group: that of the smallest id (of several, of the smallest text hash), and of rows alike in id and text one. Rows without words all stay but for such repeats."""
     c = save(classes(docs, **options), "classes")
     settle(docs.sparkSession)
-    # Texts of one class under one id are told apart by their hash: the smallest stays.
-    only = c.filter("d = class_id").groupBy("d").agg(F.min("th").alias("th"), F.max("copies").alias("copies"))
+    only = c.filter(_chosen()).select("d", "th", "copies")
     cols = [F.col(f"`{x}`") for x in docs.columns]
     mine = docs.select(F.struct(*cols).alias("row"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("th"))
     only = save(only, "only")
