@@ -105,7 +105,7 @@ def shingled(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np
         got, who = [], []
         for size in range(1, WORDS + 1):
             h = runs_of(wh, size)
-            at = np.flatnonzero(rows[WORDS - 1 :] == rows[: len(rows) - WORDS + 1]) if size == WORDS else begin[per == size]
+            at = np.flatnonzero(rows[WORDS - 1 :] == rows[: max(0, len(rows) - WORDS + 1)]) if size == WORDS else begin[per == size]
             got.append(h[at] if h is not None else h)
             who.append(rows[at])
         h, r = np.concatenate(got), np.concatenate(who)
