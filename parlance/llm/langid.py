@@ -23,11 +23,27 @@ from parlance.llm.common import hold, parts, ship
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (1, 2, 3, 4)
 WORDS = 300_000
+#: Longer runs of letters, as of scripts without spaces, seldom come again: they are read whole but not kept in the table.
+LONG = 40
 
 
-def features(word: str, buckets: int) -> list[int]:
-    w = f"<{word[:40]}>"
-    return [zlib.crc32(w[i : i + n].encode()) % buckets for n in GRAMS for i in range(len(w) - n + 1)]
+def features(word: str, buckets: int, piece: int = 4096) -> Iterator[list[int]]:
+    """All n-grams of <word>, of any length, in lists of those that begin within `piece` characters."""
+    w = f"<{word}>"
+    for at in range(0, len(w), piece):
+        yield [zlib.crc32(w[i : i + n].encode()) % buckets for n in GRAMS for i in range(at, min(at + piece, len(w) - n + 1))]
+
+
+def tally(words: list[str], buckets: int) -> np.ndarray:
+    """How often each feature comes in the words."""
+    count, some = np.zeros(buckets, np.int64), []
+    for w in words:
+        for f in features(w, buckets):
+            some += f
+            if len(some) > 1 << 16:
+                count += np.bincount(some, minlength=buckets)
+                some = []
+    return count + np.bincount(np.array(some, np.int64), minlength=buckets)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,7 +71,13 @@ class Model:
         words = WORD.findall((text or "").lower())
         if not words or not any(c.isalpha() for w in words for c in w):
             return None
-        known = self.known
+        known, total = self.known, np.zeros(len(self.langs) + 1)
+        for w in words:
+            if len(w) > LONG:
+                for f in features(w, len(self.table)):
+                    total[:-1] += self.table[f].sum(0, dtype=np.float64)
+                    total[-1] += len(f)
+        words = [w for w in words if len(w) <= LONG]
         if self.rows is None:
             self.rows = np.zeros((1024, len(self.langs) + 1), np.float32)
         new = {w for w in words if w not in known}
@@ -66,10 +88,10 @@ class Model:
             at = known[w] = len(known)
             if at == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            f = features(w, len(self.table))
+            (f,) = features(w, len(self.table))
             self.rows[at, :-1] = self.table[f].sum(0)
             self.rows[at, -1] = len(f)
-        s = self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
+        s = total + self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
         return s[:-1] / s[-1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -100,8 +122,9 @@ def sample(docs: DataFrame, *, rows: int = 2400, words: int = 400, buckets: int
             idx, wt = [], []
             for t in b.column(2).to_pylist():
                 ws = WORD.findall(t.lower())
-                f = [x for w in ws[:: -(-len(ws) // words) or 1] for x in features(w, buckets)]
-                i, c = np.unique(np.array(f, np.int32), return_counts=True)
+                c = tally(ws[:: -(-len(ws) // words) or 1], buckets)
+                i = np.flatnonzero(c).astype(np.int32)
+                c = c[i]
                 idx.append(i)
                 wt.append((c / max(1, c.sum())).astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(idx, pa.list_(pa.int32())), pa.array(wt, pa.list_(pa.float32()))], ["lang", "h", "idx", "wt"])
