@@ -50,20 +50,28 @@ def degrees(edges: DataFrame, k: int = 10) -> DataFrame:
     return n.groupBy("node").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "node").limit(k)
 
 
-def cross_references(ents: DataFrame, least: int = 2, alike: float = 0.3, common: int = 100) -> DataFrame:
+def cross_references(ents: DataFrame, least: int = 2, alike: float = 0.3) -> DataFrame:
     """ref_id, source_video, target_video, shared, similarity, ref_type: videos that share entities, by Jaccard similarity.
 
-    An entity in more than `common` videos doesn't lead to pairs of itself but counts in those that others find.
+    Videos of equal entities are handled once. Two sets that are alike share at least m(n) = max(least, alike x n) entities
+    for the size n of either, so, rarest first, they meet within the first n - m(n) + 1 of each: however common an entity
+    is, no pair is lost, and common ones lead to pairs only where a set has little else.
     """
-    e = ents.select("video_id", "entity_id").distinct()
-    n = e.groupBy("video_id").agg(F.count("*").alias("n"))
-    rare = e.join(e.groupBy("entity_id").agg(F.count("*").alias("v")).filter(F.col("v") <= common), "entity_id")
-    a, b = rare.select("entity_id", F.col("video_id").alias("source_video")), rare.select("entity_id", F.col("video_id").alias("target_video"))
-    pairs = a.join(b, "entity_id").filter("source_video < target_video").select("source_video", "target_video").distinct()
-    both = pairs.join(e.select(F.col("video_id").alias("source_video"), "entity_id"), "source_video").join(e.select(F.col("video_id").alias("target_video"), "entity_id"), ["target_video", "entity_id"])
-    c = both.groupBy("source_video", "target_video").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    c = c.join(n.select(F.col("video_id").alias("source_video"), F.col("n").alias("na")), "source_video").join(n.select(F.col("video_id").alias("target_video"), F.col("n").alias("nb")), "target_video")
-    c = c.withColumn("similarity", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)).filter(F.col("similarity") >= alike)
+    e = ents.select("video_id", "entity_id").filter("video_id is not null and entity_id is not null").distinct()
+    v = e.join(e.groupBy("entity_id").agg(F.count("*").alias("v")), "entity_id")
+    videos = v.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "entity_id"))), lambda x: x["entity_id"]).alias("ids"))
+    sets = videos.groupBy("ids").agg(F.min("video_id").alias("k")).withColumn("n", F.size("ids")).filter(F.col("n") >= least)
+    members = videos.join(sets, "ids").select("k", "video_id", "n")
+    # Similarities are rounded to six places before they are compared.
+    must = F.greatest(F.lit(least), F.ceil(F.col("n") * (alike - 1e-6)).cast("int"))
+    first = sets.select("k", F.explode(F.slice("ids", F.lit(1), F.col("n") - must + 1)).alias("entity_id"))
+    of = lambda df, x: df.select(*(F.col(c).alias(c if c == "entity_id" else f"{c}{x}") for c in df.columns))
+    pairs = of(first, 1).join(of(first, 2), "entity_id").filter("k1 < k2").select("k1", "k2").distinct()
+    c = pairs.join(of(sets, 1), "k1").join(of(sets, 2), "k2").withColumn("shared", F.size(F.array_intersect("ids1", "ids2")).cast("long"))
+    c = c.select("k1", "k2", "n1", "n2", "shared").union(sets.select("k", "k", "n", "n", F.col("n").cast("long")))
+    c = c.withColumn("similarity", F.round(F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")), 6)).filter((F.col("shared") >= least) & (F.col("similarity") >= alike))
+    c = c.drop("n1", "n2").join(of(members.drop("n"), 1), "k1").join(of(members.drop("n"), 2), "k2").filter("k1 != k2 or video_id1 < video_id2")
+    c = c.withColumn("source_video", F.least("video_id1", "video_id2")).withColumn("target_video", F.greatest("video_id1", "video_id2"))
     kind = F.when(F.col("similarity") > 0.7, "concept_continuation").when(F.col("shared") > 5, "topic_overlap").otherwise("entity_shared")
     return c.select(T.pair_id(F.col("source_video"), F.col("target_video")).alias("ref_id"), "source_video", "target_video", "shared", "similarity", kind.alias("ref_type"))
 

@@ -162,7 +162,7 @@ def degree_topk(s, d):
 
 
 def cross_references(s, d):
-    return graph.cross_references(_entities(s, d), common=1000)
+    return graph.cross_references(_entities(s, d))
 
 
 def graph_bfs(s, d):
