@@ -27,6 +27,7 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _POS = np.random.default_rng(20240229).integers(0, 2**63, 1 << 12, dtype=np.uint64) | U64(1)
+_CASED = np.random.default_rng(7).integers(0, 2**63, 1 << 12, dtype=np.uint64) | U64(1)
 
 
 # ---------------------------------------------------------------- tables
@@ -178,6 +179,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(v, base) + lens.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of spans that don't overlap and aren't empty, case kept."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    lens = ends - starts
+    base = np.cumsum(lens) - lens
+    pos = np.arange(int(lens.sum())) - np.repeat(base, lens)
+    v = (data[np.repeat(starts, lens) + pos].astype(U64) + U64(1)) * _CASED[pos & 4095]
+    v ^= (pos >> 12).astype(U64) * U64(0x9E3779B97F4A7C15)
+    return mix(np.add.reduceat(v, base) + lens.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
 def runs_of(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on; the last k - 1 values mean nothing. Made by doubling."""
     a, out, done, cur, size = U64(0xD6E8FEB86659FD93), None, 0, h, 1

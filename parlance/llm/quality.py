@@ -16,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SPACE, U64, bytes_of, hold, mix, parts, runs_of, save, ship, slices, words_of
+from parlance.llm.common import SPACE, U64, bytes_of, exact_hashes, hold, mix, parts, runs_of, save, ship, slices, words_of
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct"]
 SYMBOLS, PUNCT, UPPER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 PUNCT[33:48] = PUNCT[58:65] = PUNCT[91:97] = PUNCT[123:127] = True
 UPPER[65:91] = True
-_POS = np.random.default_rng(7).integers(0, 2**63, 1 << 12, dtype=np.uint64) | U64(1)
 
 #: Rule: (numerator, denominator, smallest distance of a limit from the median in thousandths, whether it has a lower limit).
 RULES = {
@@ -36,18 +35,6 @@ RULES = {
 }
 
 
-def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of spans that don't overlap and aren't empty, case kept."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    lens = ends - starts
-    base = np.cumsum(lens) - lens
-    pos = np.arange(int(lens.sum())) - np.repeat(base, lens)
-    v = (data[np.repeat(starts, lens) + pos].astype(U64) + U64(1)) * _POS[pos & 4095]
-    v ^= (pos >> 12).astype(U64) * U64(0x9E3779B97F4A7C15)
-    return mix(np.add.reduceat(v, base) + lens.astype(U64) * U64(0x9E3779B97F4A7C15))
-
-
 def counts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """COUNTS of each row of a slice."""
     n = len(offs) - 1

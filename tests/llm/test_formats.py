@@ -70,8 +70,14 @@ def test_word_ids_equal_library():
     rng = random.Random(4)
     texts = ["İstanbul ΣΑΣ don't I'LL", "\x1c\x1d a\x85b\xa0c", "é ́x", "<|endoftext|> a<|endoftext|>b"]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2FFF)])) for _ in range(400)) for _ in range(30)]
-    made = packing.WordBPE(WORD).encode([x.encode() for x in texts])
-    assert [np.frombuffer(m, "<u4").tolist() for m in made] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    texts += ["", "one" * 40_000, "one" * 40_000 + " two"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for table in (packing.TABLE, 2000, 0):
+        bpe = packing.WordBPE(WORD, table)
+        for _ in range(3):  # from the second time on, words come from both tables
+            ids, counts = bpe.encode(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in texts)]))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+            assert not len(bpe.known.lens) or bpe.known.lens.max() <= packing.LONG
 
 
 def test_sharding(spark, docs):
