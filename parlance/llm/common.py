@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -34,9 +33,11 @@ _CASED = np.random.default_rng(7).integers(0, 2**63, 1 << 12, dtype=np.uint64) |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a temporary one in local mode; on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.environ.get("PARLANCE_SCRATCH")
         if not found:
             found = os.environ["PARLANCE_SCRATCH"] = tempfile.mkdtemp(prefix="parlance-")
@@ -44,23 +45,56 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether Spark removes the files of a query's shuffles as soon as it is done.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_left: dict[str, SparkSession] = {}
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet; its shuffles' files go at once, not when the driver's garbage collector notices."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once into the shared folder and reads it back: the lineage ends there and survives lost executors."""
+    """Writes df once into the shared folder and reads it back: the lineage ends there and survives lost executors.
+
+    The table stays until drop(), or until this process ends: what an operator returns still reads some of them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    if not _left:
+        atexit.register(_sweep)
+    _left[path] = spark
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables made by save() that nothing reads any more."""
     for t in tables:
-        path = t._scratch
-        jvm = t.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(t.sparkSession, t._scratch)
+        _left.pop(t._scratch, None)
+
+
+def _sweep() -> None:
+    """At this process's end: removes the tables that are left of sessions that still run."""
+    for path, spark in _left.items():
+        if spark.sparkContext._jsc is not None:
+            remove(spark, path)
 
 
 _shipped: set[str] = set()
@@ -81,15 +115,9 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def narrow(docs: DataFrame, **cols: str) -> DataFrame:
-    """Only the named columns, under fixed names: extra columns of the input can't clash with those that an operator adds."""
-    return docs.select(*(F.col(f"`{c}`").alias(k) for k, c in cols.items()))
-
-
-def settle(spark: SparkSession) -> None:
-    """Lets the driver notice which shuffles nothing refers to any more, so that executors delete their files now and not at some later time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def plain(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1 and so on: none can clash with those that an operator adds."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
 
 
 _caches: dict[str, Callable[[], None]] = {}

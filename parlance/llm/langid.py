@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import hold, parts, ship
+from parlance.llm.common import hold, parts, plain, ship
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (1, 2, 3, 4)
@@ -103,12 +103,12 @@ class Model:
         return self.langs[best], float(e[best] / e.sum())
 
 
-def sample(docs: DataFrame, *, rows: int = 2400, words: int = 400, buckets: int = 1 << 15, salt: int = 17) -> DataFrame:
+def sample(docs: DataFrame, *, rows: int = 2400, buckets: int = 1 << 15, salt: int = 17) -> DataFrame:
     """lang, h, idx, wt: features of at most `rows` rows, spread evenly over the languages by a hash of doc_id.
 
-    Of a text of more than `words` words, every j-th is used for training, from its start to its end. As `rows` rows can
-    show no more than `rows` languages, those of most rows are taken (ties by name): the counts that are broadcast have
-    at most that many rows, and no text is shuffled by its language, of which one may hold most of the corpus.
+    Whole texts are read. As `rows` rows can show no more than `rows` languages, those of most rows are taken (ties by
+    name): the counts that are broadcast have at most that many rows, and no text is shuffled by its language, of which
+    one may hold most of the corpus.
     """
     ship(docs.sparkSession)
     fit = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
@@ -121,8 +121,7 @@ def sample(docs: DataFrame, *, rows: int = 2400, words: int = 400, buckets: int
         for b in parts(batches):
             idx, wt = [], []
             for t in b.column(2).to_pylist():
-                ws = WORD.findall(t.lower())
-                c = tally(ws[:: -(-len(ws) // words) or 1], buckets)
+                c = tally(WORD.findall(t.lower()), buckets)
                 i = np.flatnonzero(c).astype(np.int32)
                 c = c[i]
                 idx.append(i)
@@ -172,7 +171,7 @@ def train(rows: list, *, buckets: int = 1 << 15, dim: int = 12, epochs: int = 4,
 
 
 def fitted(docs: DataFrame, *, rows: int = 2400, buckets: int = 1 << 15) -> Model:
-    """The model learned from docs (doc_id, text, lang). What reaches the driver is bounded by `rows`, words a row and `buckets`; it comes as Arrow columns."""
+    """The model learned from docs (doc_id, text, lang). What reaches the driver is bounded by `rows` and `buckets`; it comes as Arrow columns."""
     got = sample(docs.select("doc_id", "text", "lang"), rows=rows, buckets=buckets).toArrow().combine_chunks()
     cols = [got.column(c).combine_chunks() for c in ("idx", "wt")] if got.num_rows else []
     feats = [[c.flatten().to_numpy()[a:b] for a, b in zip(o, o[1:], strict=False)] for c in cols for o in [np.append(0, np.cumsum(c.value_lengths().to_numpy()))]]
@@ -180,15 +179,10 @@ def fitted(docs: DataFrame, *, rows: int = 2400, buckets: int = 1 << 15) -> Mode
     return train(sorted(made, key=lambda r: (r[1], r[0], len(r[2]))), buckets=buckets)
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score (calibrated chance of it) and rejected to each row; columns of these names are replaced.
-
-    A null text or one without a letter is `und` with score 0 and rejected. Nothing but the text is read for a prediction.
-    """
-    new = ["lang_pred", "score", "rejected"]
-    kept = [c for c in docs.columns if c not in new]
-    src = docs.select(*(F.col(f"`{c}`") for c in kept))
-    at = kept.index(text)
+def _told(docs: DataFrame, model: Model, text: str, only: bool) -> DataFrame:
+    """docs' columns as c0, c1, ... with n0, n1, n2: language, score and whether it is rejected; or, with `only`, the rows that aren't."""
+    src, at = plain(docs), docs.columns.index(text)
+    names = [*src.columns, "n0", "n1", "n2"]
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -197,8 +191,25 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         hold(f"langid {id(m)}", m.forget)
         for b in parts(batches):
             got = [m.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == "und" or g[1] < m.least for g in got], pa.bool_())], [*kept, *new]
-            )
+            bad = [g[0] == "und" or g[1] < m.least for g in got]
+            if only:
+                yield b.filter(pa.array([not x for x in bad], pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(bad, pa.bool_())], names)
+
+    return src.mapInArrow(run, src.schema if only else src.select("*", F.lit("").alias("n0"), F.lit(0.0).alias("n1"), F.lit(False).alias("n2")).schema)
+
+
+def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """Adds lang_pred, score (calibrated chance of it) and rejected to each row; columns of these names are replaced.
+
+    A null text or one without a letter is `und` with score 0 and rejected. Nothing but the text is read for a prediction.
+    """
+    new = ["lang_pred", "score", "rejected"]
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
+    return _told(kept, model, text, False).toDF(*kept.columns, *new)
+
 
-    return src.mapInArrow(run, src.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema)
+def keep(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows of docs that aren't rejected, with its columns, whatever their names. Each goes to a worker once."""
+    return _told(docs, model, text, True).toDF(*docs.columns)

@@ -1,17 +1,19 @@
 """MinHash near-dedup (operator 8) with DartMinHash signatures.
 
-A text is the set of its five-word shingles (words: lower-case runs of letters and digits; fewer than five words are one
-shingle). Every element owns a region of weight x rank; darts are thrown into unit cells of it, as many to a cell as a
+A text is the weighted set of its five-word shingles (words: lower-case runs of letters and digits; fewer than five words
+are one shingle), a shingle's weight how often it comes; similarity is the sum of the lesser weights over that of the
+greater. Every element owns a region of weight x rank; darts are thrown into unit cells of it, as many to a cell as a
 hash draws from the Poisson distribution of mean 1, and a dart counts if it lies below the element's weight and below a
 rank that is chosen so that about k (ln k + 4) darts count in all. Each dart belongs to one of k coordinates by its
 hash, and the earliest of each is the signature: two texts agree in a coordinate with the chance that is their weighted
 Jaccard similarity. Work is linear in the text plus k ln k, not their product.
 
 Texts of the same words are one node. 25 bands of 5 coordinates deal nodes into buckets: texts of similarity 0.8 share
-one with a chance of 0.99995. In each bucket all nodes are compared with a pivot, exactly, on shingle sets, and
-components follow. Members that the pivot did not reach get a second pivot; those still apart from others of their
-bucket are then compared with all of these, in blocks, so no link between texts that share a bucket is lost, while
-groups of alike texts never form all pairs.
+one with a chance of 0.99995. In each bucket all nodes are compared with a pivot, on all shingles (by 32 bits of their
+hashes, which moves a similarity by some millionths), and components follow. Members that the pivot did not reach get a
+second pivot; those still apart from others of their bucket are then compared with all of these, in blocks. A signature
+of FINE coordinates rules pairs out there, with a chance of one in 10^9 for a pair that is a link. So but for these
+stated chances no link is lost, while groups of alike texts never form all pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import ALNUM, U64, bytes_of, drop, hold, mix, parts, runs_of, save, settle, ship, slices, word_hashes, words_of
+from parlance.llm.common import ALNUM, U64, bytes_of, drop, hold, mix, parts, runs_of, save, ship, slices, word_hashes, words_of
 
 WORDS, BANDS, ROWS = 5, 25, 5
 #: Coordinates of the signature by which pairs within a bucket are told apart before the exact check; one byte of each is kept.
@@ -135,8 +137,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("th"), "text")
 
 
-def signed(docs: DataFrame, *, counted: bool = False) -> DataFrame:
-    """d, th, node, bands of each row."""
+def signed(docs: DataFrame, *, counted: bool = True) -> DataFrame:
+    """d, th, node, bands of each row. counted: weights are counts, else 1."""
     k = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +157,24 @@ def signed(docs: DataFrame, *, counted: bool = False) -> DataFrame:
     return _keyed(docs).mapInArrow(run, f"d long, th long, node {NODE}, bands array<long>")
 
 
-def sets_of(rows: DataFrame, *, counted: bool = False) -> DataFrame:
-    """node, sh (32-bit shingle hashes), sig (FINE bytes) of rows with node and text."""
+def occurrences(h: np.ndarray, r: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each occurrence: what two texts share of these is the sum of the lesser counts."""
+    if not len(count) or count.max() == 1:
+        return h, r
+    e = np.repeat(h, count)
+    nth = np.arange(len(e)) - np.repeat(np.cumsum(count) - count, count)
+    return np.where(nth > 0, mix(e + nth.astype(U64) * U64(0xA24BAED4963EE407)), e), np.repeat(r, count)
+
+
+def sets_of(rows: DataFrame, *, counted: bool = True) -> DataFrame:
+    """node, sh (32-bit hashes of shingles' occurrences, or of shingles if not counted), sig (FINE bytes) of rows with node and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             for i, n, h, r, count, _ in shingled(b.column(1).to_pylist()):
                 sig = darts(h, count.astype(float) if counted else np.ones(len(h)), r, n, FINE).astype(np.uint8)
+                if counted:
+                    h, r = occurrences(h, r, count)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, n), _lists((h >> U64(32)).astype(np.uint32).view(np.int32), np.bincount(r, minlength=n), pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary())],
                     ["node", "sh", "sig"],
@@ -188,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def agreed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is at least `percent`."""
+    """The pairs (a, b) whose Jaccard similarity, on all their shingles, is at least `percent`."""
     a, b = (sets.select(F.col("node").alias(x), F.col("sh").alias(f"sh_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b")
     both = both.withColumn("i", F.size(F.array_intersect("sh_a", "sh_b"))).withColumn("n", F.size("sh_a") + F.size("sh_b") - F.col("i"))
@@ -196,9 +209,9 @@ def agreed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def possible(percent: int) -> int:
-    """How many of FINE bytes texts of that similarity share at least, but for a chance of a few in a million."""
+    """How many of FINE bytes texts of that similarity share at least, but for a chance of one in 10^9."""
     p = percent / 100
-    return int((p - 4.5 * math.sqrt(p * (1 - p) / FINE)) * FINE)
+    return int((p - 6 * math.sqrt(p * (1 - p) / FINE)) * FINE)
 
 
 def _keys(col: pa.Array) -> np.ndarray:
@@ -297,12 +310,13 @@ def apart(rows: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> D
     return left.groupBy("bh", "i", "j").cogroup(right.groupBy("bh2", "i2", "j2")).applyInArrow(run, f"x {NODE}, y {NODE}").select(*_ordered("x", "y")).distinct()
 
 
-def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small: int = 48) -> DataFrame:
-    """d, th, class_id, class_th, copies: one row for each distinct pair of id and text hash in docs (doc_id, text).
+def classes(docs: DataFrame, *, percent: int = 80, counted: bool = True, small: int = 48) -> DataFrame:
+    """d, th, class_id, class_th, copies, links: one row for each distinct pair of id and text hash in docs (doc_id, text).
 
     class_id, class_th: the smallest pair of doc_id and text hash of the group (null ids count as the lowest number);
     both name it, as unrelated texts can share an id. A text without a word, null included, is in no group and has its
-    own pair; copies: how many rows share d and th. Other columns are ignored.
+    own pair; copies: how many rows share d and th; links: with how many other texts the text was compared and found alike
+    (pairs that a group holds together without are not compared). Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -317,7 +331,6 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
     maybe = _keyed(docs).withColumn("bk", _sifted()).join(sieve(wanted), "bk", "left_semi")
     sets = save(sets_of(maybe.join(wanted, ["d", "th"]), counted=counted).dropDuplicates(["node"]), "sets")
     drop(buckets)
-    settle(spark)
 
     first = shared.filter("node != pivot").select(*_ordered("node", "pivot")).distinct()
     links = save(agreed(first, sets, percent), "pairs")
@@ -345,15 +358,18 @@ def classes(docs: DataFrame, *, percent: int = 80, counted: bool = False, small:
             found.append(apart(large, sets, percent))
         for f in found:
             links = links.union(f)
-        links = save(links, "pairs")
+        links = save(links.distinct(), "pairs")
         labels = components(links)
 
-    settle(spark)
-    ids = labelled(nodes.select("node", "rep"), "node", "label")
-    named = ids.groupBy("label").agg(F.min("rep").alias("rep"))
-    by_node = ids.select("node", "label").join(named, "label").select("node", F.col("rep.d").alias("class_id"), F.col("rep.th").alias("class_th"))
+    # Only texts with links need a name from elsewhere. Written first, as above: a group may hold a third of all texts.
+    near = labels.join(nodes.select("node", "rep"), "node")
+    named = save(near.groupBy("label").agg(F.min("rep").alias("rep")), "named")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    linked = labels.join(named, "label").join(degree, "node").select("node", F.col("rep.d").alias("l_d"), F.col("rep.th").alias("l_th"), "links")
+    by_node = nodes.join(linked, "node", "left").select("node", F.coalesce("l_d", "rep.d").alias("class_id"), F.coalesce("l_th", "rep.th").alias("class_th"), F.coalesce("links", F.lit(0)).alias("links"))
     every = rows.groupBy("d", "th").agg(F.count("*").alias("copies"), F.first("node").alias("node"))
-    return every.join(by_node, "node", "left").select("d", "th", F.coalesce("class_id", "d").alias("class_id"), F.coalesce("class_th", "th").alias("class_th"), "copies")
+    out = every.join(by_node, "node", "left")
+    return out.select("d", "th", F.coalesce("class_id", "d").alias("class_id"), F.coalesce("class_th", "th").alias("class_th"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def _chosen():
@@ -362,16 +378,15 @@ def _chosen():
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id, kept, copies, class_hash of each distinct document; class_id and class_hash name its group, of which one is kept."""
+    """doc_id, class_id, kept, copies, links, class_hash of each distinct document; class_id and class_hash name its group, of which one is kept."""
     c = classes(docs, **options)
     real = lambda x: F.when(F.col(x) != -(2**63), F.col(x))
-    return c.select(real("d").alias("doc_id"), real("class_id").alias("class_id"), _chosen().alias("kept"), "copies", F.col("class_th").alias("class_hash"))
+    return c.select(real("d").alias("doc_id"), real("class_id").alias("class_id"), _chosen().alias("kept"), "copies", "links", F.col("class_th").alias("class_hash"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group: that of the smallest id (of several, of the smallest text hash), and of rows alike in id and text one. Rows without words all stay but for such repeats."""
     c = save(classes(docs, **options), "classes")
-    settle(docs.sparkSession)
     only = c.filter(_chosen()).select("d", "th", "copies")
     cols = [F.col(f"`{x}`") for x in docs.columns]
     mine = docs.select(F.struct(*cols).alias("row"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("th"))

@@ -2,9 +2,14 @@
 
 A sketch is a histogram with log-linear buckets (32 to each power of two, exact below 32): any quantile is known to
 about 3 %, sketches of two sets of rows add up bucket by bucket, and the result doesn't depend on how rows were dealt.
-Each partition adds up its own rows first; only bucket counts are shuffled. A group of few rows takes the sketch of its
-language, and that of all rows where the language is rare too. Each rule's upper limit is the median plus a multiple of
-the quartiles' distance, and the lower limit likewise below; rows join their group's limits and are judged.
+Each partition adds up its own rows first, those that pass the base rules; only bucket counts are shuffled. A group of
+few rows takes the sketch of its language, and that of all rows where the language is rare too.
+
+No rule has a number of its own. Of all pairs of quantiles that hold half of a group's rows between them, the closest is
+its middle: junk on one side, up to nearly half of the group, doesn't move it. Limits lie `spread` times its width
+beyond either end. Where half of the rows share one value, as rates of rare things do, the closest pair that holds nine
+tenths is taken. A document fails if it has over `chance` more of what is counted than the limit allows: where none is
+usual, three may come by chance (the rule of three). Rows join their group's limits and are judged.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SPACE, U64, bytes_of, exact_hashes, hold, mix, parts, runs_of, save, ship, slices, words_of
+from parlance.llm.common import SPACE, U64, bytes_of, exact_hashes, hold, mix, parts, plain, runs_of, save, ship, slices, words_of
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct"]
 SYMBOLS, PUNCT, UPPER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -24,15 +29,16 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 PUNCT[33:48] = PUNCT[58:65] = PUNCT[91:97] = PUNCT[123:127] = True
 UPPER[65:91] = True
 
-#: Rule: (numerator, denominator, smallest distance of a limit from the median in thousandths, whether it has a lower limit).
+#: Rule: (numerator, denominator, whether there can be too little of it). Repeated words have their limit in the base rules.
 RULES = {
-    "symbol_rate": ("n_symbols", "n_words", 200, False),
-    "upper_rate": ("n_upper", "word_chars", 250, False),
-    "punct_rate": ("n_punct", "word_chars", 120, False),
-    "repeat_rate": ("n_repeat_words", "n_words", 300, False),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 400, False),
-    "word_length": ("word_chars", "n_words", 2500, True),
+    "symbol_rate": ("n_symbols", "n_words", False),
+    "upper_rate": ("n_upper", "word_chars", False),
+    "punct_rate": ("n_punct", "word_chars", False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", False),
+    "word_length": ("word_chars", "n_words", True),
 }
+#: Quantiles are taken at every twentieth; of them, half the rows lie between ten steps, nine tenths between 18.
+STEPS, HALF, MOST = 20, 10, 18
 
 
 def counts(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -99,7 +105,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def rate(rule: str) -> Column:
-    a, b, _, _ = RULES[rule]
+    a, b, _ = RULES[rule]
     return F.expr(f"CASE WHEN {b} > 0 THEN (1000 * {a}) DIV {b} ELSE 0 END")
 
 
@@ -115,57 +121,75 @@ def lowest(b: Column) -> Column:
     return F.when(b < 32, b).otherwise(((b % 32 + 32) * F.pow(F.lit(2.0), e - 5)).cast("long"))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """lang, source, rule, bucket, n: the histograms. rows: lang, source and COUNTS."""
-    each = rows.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bucket(rate(r)).alias("bucket")) for r in RULES))).alias("x"))
+    """lang, source, rule, bucket, n: the histograms of rows that pass the base rules. rows: lang, source and COUNTS."""
+    each = rows.filter(~base_failed()).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bucket(rate(r)).alias("bucket")) for r in RULES))).alias("x"))
     return each.select("lang", "source", "x.*").groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
 
 
-def limits(sketch: DataFrame, *, spread: int = 5, least: int = 100) -> DataFrame:
-    """g_lang, g_source, then lo_<rule> and hi_<rule> for each group, from its own rows or from the smallest larger set that has `least` rows."""
+def middle(h: Column) -> Column:
+    """width, lo, hi of a sketch (sorted structs of upto, lo, hi): the closest pair of quantiles that holds half of the rows, or nine tenths where that is one value."""
+    least = lambda k: F.get(F.filter(h, lambda x: x["upto"] * STEPS >= F.element_at(h, -1)["upto"] * k), F.lit(0))
+
+    def closest(q):
+        pair = lambda k, step: F.struct((F.get(q, k + step)["hi"] - F.get(q, k)["lo"]).alias("width"), F.get(q, k)["lo"].alias("lo"), F.get(q, k + step)["hi"].alias("hi"))
+        pairs = lambda step: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(STEPS - step)), lambda k: pair(k, step)))
+        both = F.transform(F.array(F.lit(HALF), F.lit(MOST)), pairs)
+        return F.coalesce(F.get(F.filter(both, lambda x: x["width"] > 0), F.lit(0)), F.get(both, F.lit(0)))
+
+    return F.get(F.transform(F.array(F.transform(F.sequence(F.lit(0), F.lit(STEPS)), least)), closest), F.lit(0))
+
+
+def limits(sketch: DataFrame, *, spread: int = 8, least: int = 100) -> DataFrame:
+    """g_lang, g_source, then lo_<rule> and hi_<rule> for each group, from its own rows or from the smallest larger set that has `least` rows.
+
+    A group's sketch has as many entries as there are buckets, some hundreds at most, and is one row where it is read.
+    """
     levels = [["lang", "source", "rule"], ["lang", "rule"], ["rule"]]
     made = []
     for keys in levels:
         m = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*keys)
-        m = m.select("*", F.sum("n").over(w).alias("all"), F.sum("n").over(w.orderBy("bucket")).alias("upto"))
-        q = [F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, lowest(F.col("bucket")))).alias(f"q{k}") for k in (1, 2, 3)]
-        made.append(m.groupBy(*keys).agg(F.max("all").alias("all"), *q))
+        upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket"))
+        m = m.select(*keys, F.struct(upto.alias("upto"), lowest(F.col("bucket")).alias("lo"), (lowest(F.col("bucket") + 1) - 1).alias("hi")).alias("x"))
+        made.append(m.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("h")).select(*keys, F.element_at("h", -1)["upto"].alias("all"), middle(F.col("h")).alias("m")))
     fine, lang, whole = made
     a, b, c = fine.alias("a"), lang.alias("b"), whole.alias("c")
     one = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.rule") == F.col("b.rule"))).join(c, F.col("a.rule") == F.col("c.rule"))
-    pick = lambda x: F.when(F.col("a.all") >= least, F.col(f"a.{x}")).when(F.col("b.all") >= least, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}"))
-    one = one.select(F.col("a.lang").alias("g_lang"), F.col("a.source").alias("g_source"), F.col("a.rule").alias("rule"), *(pick(f"q{k}").alias(f"q{k}") for k in (1, 2, 3)))
-    gap = F.coalesce(*(F.when(F.col("rule") == r, F.lit(x[2])) for r, x in RULES.items()))
-    far = F.greatest(spread * (F.col("q3") - F.col("q1")), gap)
-    one = one.select("g_lang", "g_source", "rule", (F.col("q2") - far).alias("lo"), (F.col("q2") + far).alias("hi"))
+    m = F.when(F.col("a.all") >= least, F.col("a.m")).when(F.col("b.all") >= least, F.col("b.m")).otherwise(F.col("c.m"))
+    one = one.select(F.col("a.lang").alias("g_lang"), F.col("a.source").alias("g_source"), F.col("a.rule").alias("rule"), m.alias("m"))
+    one = one.select("g_lang", "g_source", "rule", (F.col("m.lo") - spread * F.col("m.width")).alias("lo"), (F.col("m.hi") + spread * F.col("m.width")).alias("hi"))
     return one.groupBy("g_lang", "g_source").agg(*(F.max(F.when(F.col("rule") == r, F.col(x))).alias(f"{x}_{r}") for r in RULES for x in ("lo", "hi")))
 
 
-def judged(rows: DataFrame, lim: DataFrame) -> DataFrame:
-    """Adds base_failed and kept to rows with lang, source and COUNTS. Every row finds its group's limits: they come from the same rows."""
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def judged(rows: DataFrame, lim: DataFrame, chance: int = 3) -> DataFrame:
+    """Adds base_failed and kept to rows with lang, source and COUNTS. A group without limits has no row that passes the base rules."""
     ok = F.lit(True)
-    for r, (_, _, _, low) in RULES.items():
-        ok = ok & (rate(r) <= F.col(f"hi_{r}"))
+    for r, (a, b, low) in RULES.items():
+        ok = ok & (1000 * (F.col(a) - chance) <= F.col(f"hi_{r}") * F.col(b))
         if low:
-            ok = ok & (rate(r) >= F.col(f"lo_{r}"))
+            ok = ok & (1000 * (F.col(a) + chance) >= F.col(f"lo_{r}") * F.col(b))
     both = rows.join(lim, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    return both.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True))).drop(*lim.columns)
+    return both.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(ok, F.lit(True))).drop(*lim.columns)
 
 
-def quality(docs: DataFrame, *, spread: int = 5, least: int = 100) -> DataFrame:
+def quality(docs: DataFrame, *, spread: int = 8, least: int = 100) -> DataFrame:
     """doc_id, lang, source, COUNTS, base_failed, kept: one row for each row of docs (doc_id, text, lang, source).
 
     Null languages and sources are groups of their own; a null or empty text fails the base rules; repeated rows are
-    judged alike; an empty table gives an empty result. Other columns are ignored.
+    judged alike; an empty table gives an empty result. Other columns are ignored. A group of fewer than `least` rows
+    that pass the base rules is judged by its language's limits, a language of fewer by those of all rows.
     """
     rows = save(measured(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality")
     return judged(rows, limits(sketches(rows), spread=spread, least=least))
 
 
-def keep(docs: DataFrame, *, spread: int = 5, least: int = 100) -> DataFrame:
-    """The rows of docs that the rules keep, with its columns. Texts are read twice, once to learn limits, and never shuffled for it unless the limits are too many to broadcast."""
+def keep(docs: DataFrame, *, spread: int = 8, least: int = 100) -> DataFrame:
+    """The rows of docs that the rules keep, with its columns, whatever their names. Texts are read twice, once to learn limits, and never shuffled for it unless the limits are too many to broadcast."""
     lim = save(limits(sketches(measured(docs.select("lang", "source", "text")).drop("text")), spread=spread, least=least), "limits")
-    mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "lang", "source", "text")
-    return judged(measured(mine), lim).filter("kept").select("row.*")
+    src, at = plain(docs), {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    mine = measured(src, f"c{docs.columns.index('text')}").withColumn("lang", at["lang"]).withColumn("source", at["source"])
+    return judged(mine, lim).filter("kept").select(*src.columns).toDF(*docs.columns)

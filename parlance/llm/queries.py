@@ -84,17 +84,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 
 
 def _op2() -> str:
-    """Counts by lists and windows, sketches by the same bucket rule, limits by the same quartiles."""
-    rates = {r: f"CASE WHEN {b} > 0 THEN (1000 * {a}) // {b} ELSE 0 END" for r, (a, b, _, _) in quality.RULES.items()}
-    rules = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rule, {x} AS v FROM m" for r, x in rates.items())
-    gaps = " ".join(f"WHEN rule = '{r}' THEN {x[2]}" for r, x in quality.RULES.items())
-    low = " OR ".join(f"rule = '{r}'" for r, x in quality.RULES.items() if x[3])
+    """Counts by lists and windows, sketches by the same bucket rule, limits by the closest quantiles that hold half of the rows, or nine tenths."""
+    base = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
+    rules = " UNION ALL ".join(f"SELECT r, lang, source, '{r}' AS rule, CASE WHEN {b} > 0 THEN (1000 * {a}) // {b} ELSE 0 END AS v FROM m WHERE NOT {base}" for r, (a, b, _) in quality.RULES.items())
+    fails = " OR ".join(f"(rule = '{r}' AND (1000 * ({a} - 3) > hi * {b}{f' OR 1000 * ({a} + 3) < lo * {b}' if low else ''}))" for r, (a, b, low) in quality.RULES.items())
+    pairs = lambda step: "list_sort([" + ", ".join(f"{{'width': p[{k + step + 1}] - q[{k + 1}], 'lo': q[{k + 1}], 'hi': p[{k + step + 1}]}}" for k in range(21 - step)) + "])[1]"
+    low = lambda b: f"CASE WHEN {b} < 32 THEN {b} ELSE CAST(({b} % 32 + 32) * pow(2, {b} // 32 - 1) AS BIGINT) END"
+    at = lambda v: ", ".join(f"min(CASE WHEN up * 20 >= al * {k} THEN {v} END)" for k in range(21))
     level = lambda name, keys: f"""
 {name}_h AS (SELECT {keys}, b, sum(n) AS n FROM sk GROUP BY {keys}, b),
 {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {keys}) AS al, sum(n) OVER (PARTITION BY {keys} ORDER BY b) AS up FROM {name}_h),
-{name} AS (SELECT {keys}, max(al) AS al, min(CASE WHEN up * 4 >= al THEN lo END) AS q1, min(CASE WHEN up * 4 >= al * 2 THEN lo END) AS q2,
-           min(CASE WHEN up * 4 >= al * 3 THEN lo END) AS q3
-           FROM (SELECT *, CASE WHEN b < 32 THEN b ELSE CAST((b % 32 + 32) * pow(2, b // 32 - 1) AS BIGINT) END AS lo FROM {name}_c) GROUP BY {keys})"""
+{name}_q AS (SELECT {keys}, max(al) AS al, [{at("lo")}] AS q, [{at("hi")}] AS p
+           FROM (SELECT *, {low("b")} AS lo, {low("(b + 1)")} - 1 AS hi FROM {name}_c) GROUP BY {keys}),
+{name} AS (SELECT {keys}, al, CASE WHEN x.width > 0 THEN x ELSE y END AS m FROM (SELECT *, {pairs(10)} AS x, {pairs(18)} AS y FROM {name}_q))"""
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -107,17 +109,14 @@ m AS (SELECT d.r, d.doc_id, d.lang, d.source, CAST(len(ws) AS BIGINT) AS n_words
       CAST(length(regexp_replace(d.t, '[^A-ZÀ-Þ]', '', 'g')) AS BIGINT) AS n_upper,
       CAST(length(regexp_replace(d.t, '[^!-/:-@\[-`{{-~]', '', 'g')) AS BIGINT) AS n_punct
       FROM d JOIN w USING (r) LEFT JOIN ln USING (r) LEFT JOIN rep USING (r)),
-ru AS ({rules.replace("SELECT doc_id", "SELECT r, doc_id")}),
+ru AS ({rules}),
 sk AS (SELECT lang, source, rule, CASE WHEN v < 32 THEN v ELSE 32 * (length(bin(v)) - 6) + v // CAST(pow(2, length(bin(v)) - 6) AS BIGINT) END AS b, count(*) AS n FROM ru GROUP BY ALL),
 {level("fi", "lang, source, rule")}, {level("la", "lang, rule")}, {level("wh", "rule")},
-pk AS (SELECT fi.lang, fi.source, fi.rule, CASE WHEN fi.al >= 100 THEN fi.q1 WHEN la.al >= 100 THEN la.q1 ELSE wh.q1 END AS q1,
-       CASE WHEN fi.al >= 100 THEN fi.q2 WHEN la.al >= 100 THEN la.q2 ELSE wh.q2 END AS q2, CASE WHEN fi.al >= 100 THEN fi.q3 WHEN la.al >= 100 THEN la.q3 ELSE wh.q3 END AS q3
+pk AS (SELECT fi.lang, fi.source, fi.rule, CASE WHEN fi.al >= 100 THEN fi.m WHEN la.al >= 100 THEN la.m ELSE wh.m END AS m
        FROM fi JOIN la ON fi.rule = la.rule AND fi.lang IS NOT DISTINCT FROM la.lang JOIN wh ON fi.rule = wh.rule),
-lim AS (SELECT lang, source, rule, q2 - greatest(5 * (q3 - q1), CASE {gaps} END) AS lo, q2 + greatest(5 * (q3 - q1), CASE {gaps} END) AS hi FROM pk),
-bad AS (SELECT DISTINCT ru.r FROM ru JOIN lim ON ru.rule = lim.rule AND ru.lang IS NOT DISTINCT FROM lim.lang AND ru.source IS NOT DISTINCT FROM lim.source
-        WHERE v > hi OR (v < lo AND (ru.{low})))
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND bad.r IS NULL AS kept
+lim AS (SELECT lang, source, rule, m.lo - 8 * m.width AS lo, m.hi + 8 * m.width AS hi FROM pk),
+bad AS (SELECT DISTINCT m.r FROM m JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source WHERE {fails})
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, NOT {base} AND bad.r IS NULL AS kept
 FROM m LEFT JOIN bad ON m.r = bad.r
 """
 

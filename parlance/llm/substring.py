@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SPACE, U64, bytes_of, drop, hold, parts, runs_of, save, settle, ship, slices, word_hashes, words_of
+from parlance.llm.common import SPACE, U64, bytes_of, drop, hold, parts, plain, runs_of, save, ship, slices, word_hashes, words_of
 
 GRAM, WINDOW, LEAST = 26, 25, 50
 LAST = 2**63 - 1
@@ -96,7 +96,6 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     many = save(u.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated")
     again = save(u.join(many.hint("merge"), "h", "left_semi"), "again")
     drop(u, many)
-    settle(docs.sparkSession)
     first = again.groupBy("h").agg(F.min(F.struct("d", "th", "pos")).alias("f")).select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.pos").alias("fpos"))
     first = save(first, "first")  # a join whose sides are both plain exchanges can be split where a unit is hot
     own = (F.col("d") == F.col("fd")) & (F.col("th") == F.col("fth"))
@@ -106,7 +105,6 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     runs = later.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     runs = save(runs.groupBy("d", "th", "run").agg(F.min("pos").alias("a"), (F.max("pos") + gram).alias("b"), F.first("fd").alias("fd"), F.first("fth").alias("fth"), F.first("shift").alias("shift")), "runs")
     drop(again, first)
-    settle(docs.sparkSession)
 
     side = lambda s, e: F.struct(F.lit(s).alias("side"), e.cast("int").alias("edge"), (e - F.col("shift")).cast("int").alias("fedge"))
     ends = runs.select("d", "th", "run", "fd", "fth", F.explode(F.array(side(0, F.col("a")), side(1, F.col("b")))).alias("e")).select("d", "th", "run", "fd", "fth", "e.*")
@@ -117,7 +115,6 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     texts = _keyed(docs).join(asked.hint("shuffle_hash"), ["d", "th"])
     ctx = save(contexts(texts, reach).dropDuplicates(["d", "th", "side", "edge"]), "contexts")
     drop(asked)
-    settle(docs.sparkSession)
     theirs = ctx.select(F.col("d").alias("fd"), F.col("th").alias("fth"), "side", F.col("edge").alias("fedge"), F.col("ctx").alias("fctx"))
     both = ends.join(ctx, ["d", "th", "side", "edge"]).join(theirs, ["fd", "fth", "side", "fedge"])
     stop = F.array_position(F.zip_with("ctx", "fctx", lambda x, y: x.eqNullSafe(y)), False)
@@ -126,7 +123,6 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     spans = grown.groupBy("d", "th", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
     out = save(spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     drop(runs, ctx)
-    settle(docs.sparkSession)
     return out
 
 
@@ -138,17 +134,17 @@ def substring_dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, wi
     and are treated alike; a null id ranks last. In a text that repeats itself, what doesn't overlap its model goes.
     """
     marks = repeats(docs, gram=gram, window=window)
-    kept = [c for c in docs.columns if c not in ("spans", "n_removed")]
-    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col("doc_id"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("th"))
-    src = src.join(marks.hint("shuffle_hash"), ["d", "th"], "left").select("row.*", F.col("spans").alias("_spans"))
-    at = kept.index("text")
-    schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.expr("cast(null as array<struct<start: long, end: long>>)").alias("spans"), F.lit(0).cast("long").alias("n_removed")).schema
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "n_removed")))
+    at, names = kept.columns.index("text"), [f"c{i}" for i in range(len(kept.columns))]
+    src = plain(kept).withColumn("d", F.coalesce(F.col(names[kept.columns.index("doc_id")]), F.lit(LAST))).withColumn("th", F.xxhash64(names[at]))
+    src = src.join(marks.hint("shuffle_hash"), ["d", "th"], "left").select(*names, "spans")
+    schema = src.select(*names, F.expr("cast(null as array<struct<start: long, end: long>>)").alias("spans"), F.lit(0).cast("long").alias("n_removed")).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             texts, spans, gone = [], [], []
-            for t, s in zip(b.column(at).to_pylist(), b.column(len(kept)).to_pylist(), strict=True):
+            for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 found, n = [], 0
                 if s:
                     joined: list[list[int]] = []
@@ -173,7 +169,7 @@ def substring_dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, wi
                 texts.append(t)
                 spans.append([{"start": a, "end": e} for a, e in found])
                 gone.append(n)
-            cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind), pa.array(gone, pa.int64())], [*kept, "spans", "n_removed"])
+            cols = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind), pa.array(gone, pa.int64())], [*names, "spans", "n_removed"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*kept.columns, "spans", "n_removed")

@@ -16,7 +16,7 @@ WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
 def shingles(text):
     w = WORD.findall((text or "").lower())
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return collections.Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else [])
 
 
 def brute_classes(rows):
@@ -30,7 +30,8 @@ def brute_classes(rows):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and min(len(x), len(y)) * 5 >= 4 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
+        m, n = x.total(), y.total()
+        if x and y and min(m, n) * 5 >= 4 * max(m, n) and 100 * (x & y).total() >= 80 * (x | y).total():
             p, q = sorted((top(a), top(b)))
             up[q] = p
     return {i: top(i) for i in sets}
@@ -63,6 +64,18 @@ def test_classes_equal_brute_force(spark, planted, small):
     assert len(set(got.values())) < len(got)
 
 
+def test_weights_decide(spark):
+    """Texts of the same shingles, one of which repeats a part many times, are not alike; links are counted."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + base[:30] * 4)), (3, " ".join([*base, "end"])), (4, " ".join(base + base[:30] * 4 + ["end"])), (5, " ".join([*base, "end"]))]
+    got = {r.doc_id: (r.class_id, r.links) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (2, 1), 5: (1, 1)}
+    plain = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), counted=False).collect()}
+    assert set(plain.values()) == {1}
+
+
 def test_classes_on_documents(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}

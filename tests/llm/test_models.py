@@ -4,7 +4,7 @@ import collections
 
 from pyspark.sql import functions as F
 
-from parlance.llm import langid, quality
+from parlance.llm import langid, quality, substring
 from tests.llm.conftest import ODD, frame
 
 
@@ -68,6 +68,39 @@ def test_rules_keep_clean_and_drop_junk(spark):
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20))
 
 
+def test_limits_follow_the_groups(spark):
+    """Limits come from the rows alone: they scale with a group's distribution, and a third of junk doesn't move them."""
+    assert all(len(x) == 3 and not any(type(v) in (int, float) for v in x) for x in quality.RULES.values())
+    told = dict.fromkeys(quality.COUNTS, 0) | {"n_words": 100, "word_chars": 500, "n_lines": 5}
+    make = lambda lang, source, **x: {"lang": lang, "source": source} | told | x
+    rows = [make("en", "a", n_symbols=i % 7) for i in range(700)] + [make("en", "b", n_symbols=50 + 5 * (i % 7)) for i in range(700)]
+    rows += [make("en", "c", n_symbols=i % 7 if i % 3 else 90) for i in range(900)] + [make("de", "a", n_symbols=0 if i % 25 else 80) for i in range(500)]
+    rows += [make("en", "few", n_symbols=99) for _ in range(5)]
+    names = ["lang", "source", *quality.COUNTS]
+    df = spark.createDataFrame([[r[k] for k in names] for r in rows], "lang string, source string, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    lim = {(r.g_lang, r.g_source): r for r in quality.limits(quality.sketches(df)).collect()}
+    hi = {k: r.hi_symbol_rate for k, r in lim.items()}
+    assert hi["en", "a"] < hi["en", "c"] < 900 and hi["en", "a"] < 500 < hi["en", "b"] and hi["de", "a"] == 0
+    assert hi["en", "few"] not in (hi["en", "a"], hi["en", "b"])
+    kept = collections.Counter((r.lang, r.source, r.n_symbols) for r in quality.judged(df, quality.limits(quality.sketches(df))).filter("not kept").collect())
+    assert set(kept) == {("en", "c", 90), ("de", "a", 80), ("en", "few", 99)}
+    assert quality.limits(quality.sketches(df), spread=1).filter("hi_symbol_rate < 100").count() > 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    odd = "doc_id long, text string, lang string, source string, n_chars long, n_words long, score double, lang_pred string, rejected boolean, c0 string, kept string, base_failed int, hi_symbol_rate int, spans string, n_removed int, `a.b` int, _spans int"
+    text = " ".join(f"word{i % 37} other{i % 41}" for i in range(60))
+    rows = [(i, f"{text} {i}", "en", "s", 1, 2, 0.5, "x", True, "c", "k", 1, 2, "s", 3, 4, 5) for i in range(30)]
+    df = spark.createDataFrame(rows, odd)
+    model = langid.fitted(df)
+    for out in (langid.keep(df, model), quality.keep(df)):
+        assert out.schema.names == df.schema.names and {tuple(r) for r in out.collect()} <= set(rows)
+    assert quality.keep(df).count() == 30
+    cut = substring.substring_dedup(df)
+    assert cut.columns == [c for c in df.columns if c not in ("spans", "n_removed")] + ["spans", "n_removed"] and cut.count() == 30
+    assert {r._spans for r in cut.collect()} == {5}
+
+
 def test_quality_odd(spark):
     df = frame(spark, ODD)
     out = quality.quality(df).collect()
