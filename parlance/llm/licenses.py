@@ -1,12 +1,18 @@
 """License scans (operator 9), DataFrame functions only: MinHash bands retrieve templates, exact containment verifies.
 
-Texts and templates are cut into words, and each run of five words is a shingle with a 64-bit hash. A window is two
-neighbouring shingles (six words), and windows overlap at every word. MinHash number p of a window is the smaller of its
-two hashes after XOR with constant p, and each of the 8 numbers is a band. A window that lies wholly inside an intact
-piece of a template has that template's own window as its equal, so all its bands collide. A template of a single
-shingle meets two windows of a text, each with similarity 1/2: the chance that none of 16 bands collides is 2^-16.
-Bands' values of all templates are a fixed set that each expression holds; only texts with a hit are looked at further.
-There, the stretch of text around a hit is compared with the template: the share of the template's shingles in it.
+Texts and templates are cut into words, and each run of five words is a shingle with a 64-bit hash. A window is SPAN
+neighbouring shingles. Templates have a window at each shingle; texts have one at every second, so that each overlaps
+the next by half, and one at their end. MinHash number j of a window is the least of its hashes after XOR with constant
+j; a band is the hash of ROWS such numbers, and each window has BANDS of them. Windows of similarity s share a band with
+the chance 1 - (1 - s^ROWS)^BANDS.
+
+What that guarantees: a text that holds 0.8 of a template's n shingles, n at least SHORT, leaves four or more of them in
+a row somewhere, as the d lost ones, at most n/5, part the rest into d + 1 runs, and 0.8 n / (0.2 n + 1) is above three.
+A run of five has a window of the text that equals one of the template's: all bands agree. A run of four that lies
+between the text's windows has two windows of similarity 3/5: both miss with the chance (1 - 0.36)^12, 0.5 %, and every
+further run of three or four has one or two more. Templates of fewer than SHORT shingles are retrieved by any one of
+their shingles, as bands of windows of one, and those of fewer than five words by their whole run of words. What is
+retrieved is verified exactly: the share of the template's shingles that the whole text holds.
 """
 
 from __future__ import annotations
@@ -30,9 +36,11 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
-WORDS = 5
-#: Constants of the bands: multiples of the golden ratio's 64-bit fraction.
-BANDS = [((i * 0x9E3779B97F4A7C15) & (2**64 - 1)) - (2**64 if (i * 0x9E3779B97F4A7C15) & 2**63 else 0) for i in range(1, 9)]
+WORDS, SPAN, ROWS, BANDS, SHORT = 5, 4, 2, 6, 16
+#: As many bands as this are looked up in the row, as a fixed set of the plan; more are a table that texts' bands are joined with.
+LISTED = 20_000
+#: Constants of the MinHash numbers: multiples of the golden ratio's 64-bit fraction.
+MASKS = [((i * 0x9E3779B97F4A7C15) & (2**64 - 1)) - (2**64 if (i * 0x9E3779B97F4A7C15) & 2**63 else 0) for i in range(1, ROWS * BANDS + 1)]
 
 
 def let(value: Column, then) -> Column:
@@ -45,66 +53,77 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(text: Column) -> Column:
-    """Hash of the five words from each word on; none for shorter texts."""
-    return let(words(text), lambda w: F.transform(upto(F.size(w) - WORDS), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(WORDS)))))
-
-
-def upto(last: Column) -> Column:
+def upto(last: Column, step: int = 1) -> Column:
     """0 to last; nothing if that is below 0."""
-    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def band(h: Column, i: Column, p: int) -> Column:
-    """Band p of the window of shingles i and i + 1; the last shingle of a text is a window of its own (least skips null)."""
-    c = F.lit(BANDS[p]).cast("long")
-    return F.least(F.get(h, i).bitwiseXOR(c), F.get(h, i + 1).bitwiseXOR(c))
+def runs(w: Column, n: int = WORDS) -> Column:
+    """Hash of the n words from each word on; none for shorter texts. Runs of other than five words never meet those of five."""
+    mark = [] if n == WORDS else [F.lit(n)]
+    return F.transform(upto(F.size(w) - n), lambda i: F.xxhash64(*mark, *(F.get(w, i + j) for j in range(n))))
 
 
-def templates(spark: SparkSession, given: dict[str, str]) -> DataFrame:
-    """license, th: distinct shingles of each template with at least five words."""
-    rows = spark.createDataFrame(sorted(given.items()), "license string, text string")
-    return rows.select("license", shingles(F.col("text")).alias("h")).filter(F.size("h") > 0)
+def bands(h: Column, i: Column) -> Column:
+    """The bands of the window of SPAN shingles from i on; least skips what lies beyond the end."""
+    number = lambda j: F.least(*(F.get(h, i + k).bitwiseXOR(F.lit(MASKS[j]).cast("long")) for k in range(SPAN)))
+    return F.array(*(F.xxhash64(F.lit(p), *(number(p * ROWS + r) for r in range(ROWS))) for p in range(BANDS)))
 
 
-def scan(docs: DataFrame, given: dict[str, str] | None = None, *, least: float = 0.8) -> DataFrame:
-    """doc_id, license, containment, first_word, last_word: the best match of each license in each row of docs.
-
-    docs: doc_id, text. containment: the share of the template's distinct five-word shingles in the matched stretch, at
-    least `least`; first_word and last_word: the stretch's place, in words from 0; the earliest of equal matches. A null or
-    short text has none; rows that share a doc_id and text count once, rows of one doc_id with other texts each for
-    themselves; other columns are ignored. The list of templates is a parameter of fixed size: its hashes become part of
-    the plan. Rows are handled where they are; only matches are shuffled.
+def templates(spark: SparkSession, given: dict[str, str]) -> DataFrame:
+    """license, n (words a run), th (distinct runs), v (its bands): short ones have their runs as bands."""
+    rows = spark.createDataFrame(sorted(given.items()), "license string, text string").select("license", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    n = F.least(F.size("w"), F.lit(WORDS))
+    th = F.coalesce(*(F.when(n == k, runs(F.col("w"), k)) for k in range(1, WORDS + 1)))
+    t = rows.select("license", n.alias("n"), th.alias("h"))
+    v = F.when(F.size("h") < SHORT, F.col("h")).otherwise(F.flatten(F.transform(upto(F.size("h") - SPAN), lambda i: bands(F.col("h"), i))))
+    return t.select("license", "n", F.array_distinct("h").alias("th"), F.array_distinct(v).alias("v"))
+
+
+def scan(docs: DataFrame, given: dict[str, str] | None = None, *, least: float = 0.8, listed: int = LISTED) -> DataFrame:
+    """doc_id, license, containment, first_word, last_word: the licenses of each row of docs.
+
+    docs: doc_id, text. containment: the share of the template's distinct five-word shingles that the text holds, at least
+    `least`, whatever stands between them; first_word and last_word: where the first of them begins and the last ends, in
+    words from 0. A template of fewer than five words is one run of as many. A null text or one without the words has no
+    row; rows that share a doc_id and text count once, rows of one doc_id with other texts each for themselves; other
+    columns are ignored. Rows are handled where they are and only matches are shuffled, unless the templates' bands are
+    more than `listed`: then texts' bands are dealt by value to the templates', and texts meet what was found by an exchange.
     """
     spark = docs.sparkSession
     t = templates(spark, given or TEMPLATES)
-    wins = t.select("license", F.col("h").alias("th"), F.posexplode("h").alias("i", "x"))
-    keyed = wins.select("license", "th", "i", F.explode(F.array(*(F.struct(F.lit(p).alias("p"), band(F.col("th"), F.col("i"), p).alias("v")) for p in range(len(BANDS))))).alias("k"))
-    known = keyed.select("license", "th", "i", "k.*")
-    values: dict[int, list[int]] = {p: [] for p in range(len(BANDS))}
-    for p, v in known.select("p", "v").distinct().collect():
-        values[p].append(v)
-    def hits(h: Column) -> Column:
-        def any_(i: Column) -> Column:
-            out = F.lit(False)
-            for p in range(len(BANDS)):
-                out = out | band(h, i, p).isin(sorted(values[p]))
-            return out
-
-        return F.struct(h.alias("h"), F.filter(upto(F.size(h) - 1), any_).alias("at"))
-
-    d = docs.select("doc_id", F.xxhash64("text").alias("t"), let(shingles(F.col("text")), hits).alias("x"))
-    one = d.select("doc_id", "t", F.col("x.h").alias("h"), F.explode("x.at").alias("at"))
-    bands = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), band(F.col("h"), F.col("at"), p).alias("v")) for p in range(len(BANDS))))).alias("k")
-    found = one.select("doc_id", "t", "h", "at", bands).select("doc_id", "t", "h", "at", "k.*")
-    both = found.join(F.broadcast(known), ["p", "v"])
-    # The stretch: where the template would lie if this window is its window i, with a tenth more room on either side.
-    room = F.ceil(F.size("th") / 10).cast("int")
-    begin = F.greatest(F.lit(0), F.col("at") - F.col("i") - room)
-    both = both.withColumn("from", begin).withColumn("part", F.slice("h", F.col("from") + 1, F.col("at") - F.col("i") + F.size("th") + room - F.col("from") + 1))
-    share = F.size(F.array_intersect("th", "part")) / F.size(F.array_distinct("th"))
-    inside = F.filter(F.sequence(F.lit(0), F.size("part") - 1), lambda j: F.array_contains(F.col("th"), F.get(F.col("part"), j)))
-    ok = both.withColumn("share", share).filter(F.col("share") >= least).withColumn("inside", inside)
-    place = ok.select("doc_id", "t", "license", "share", (F.col("from") + F.get("inside", F.lit(0))).alias("a"), (F.col("from") + F.element_at("inside", -1) + WORDS - 1).alias("b"))
-    best = place.groupBy("doc_id", "t", "license").agg(F.max(F.struct("share", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m"))
-    return best.select("doc_id", "license", F.col("m.share").alias("containment"), (-F.col("m.a")).cast("long").alias("first_word"), (-F.col("m.b")).cast("long").alias("last_word"))
+    known = t.select("license", F.explode("v").alias("v"))
+    # The templates are a parameter: what comes of them is their own size.
+    lengths = [r.n for r in t.select("n").distinct().orderBy("n").collect()]
+    short = [n for n in lengths if n < WORDS]
+    few = known.select("v").distinct().limit(listed + 1).collect()
+    lone = t.filter((F.col("n") == WORDS) & (F.size("th") < SHORT)).limit(1).count() > 0
+
+    def cut(w: Column) -> Column:
+        # One array for each number of words that a template's runs have; the last is of five.
+        return F.struct(*(runs(w, n).alias(f"r{n}") for n in [*short, WORDS]))
+
+    def found(x: Column) -> Column:
+        h = x[f"r{WORDS}"]
+        at = F.concat(upto(F.size(h) - SPAN, 2), F.when((F.size(h) < SPAN) & (F.size(h) > 0), F.array(F.lit(0))).when(F.size(h) > 0, F.array(F.size(h) - SPAN)).otherwise(F.array().cast("array<int>")))
+        every = F.flatten(F.transform(at, lambda i: bands(h, i)))
+        return F.concat(every, *([h] if lone else []), *(x[f"r{n}"] for n in short))
+
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), let(words(F.col("text")), cut).alias("x"))
+    if len(few) <= listed:
+        values = sorted(r.v for r in few)
+        mine = keyed.select("doc_id", "t", "x", F.explode(F.array_distinct(F.filter(let(F.col("x"), found), lambda v: v.isin(values)))).alias("v"))
+        who = t.select("license", "n", "th", F.explode("v").alias("v"))
+        # A text meets each license by at most as many bands as that has; of these one is enough.
+        both = mine.join(F.broadcast(who), "v")
+    else:
+        pairs = keyed.select("doc_id", "t", F.explode(F.array_distinct(let(F.col("x"), found))).alias("v")).join(known.hint("merge"), "v")
+        pairs = pairs.select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"), "license").distinct()
+        both = keyed.join(pairs.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2"))).join(t.select("license", "n", "th"), "license")
+    h = F.coalesce(*(F.when(F.col("n") == n, F.col(f"x.r{n}")) for n in [*short, WORDS]))
+    both = both.select("doc_id", "t", "license", "n", "th", h.alias("h"), F.reverse(h).alias("back"))
+    # What two arrays share comes in the order of the first of them.
+    one = lambda x: F.array_position(F.col(x), F.get(F.array_intersect(x, "th"), F.lit(0)))
+    both = both.select("doc_id", "t", "license", (F.size(F.array_intersect("h", "th")) / F.size("th")).alias("share"), (one("h") - 1).alias("a"), (F.size("h") - one("back") + F.col("n") - 1).alias("b"))
+    best = both.filter(F.col("share") >= least).groupBy("doc_id", "t", "license").agg(F.max("share").alias("containment"), F.min("a").alias("first_word"), F.max("b").alias("last_word"))
+    return best.select("doc_id", "license", "containment", F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"))

@@ -136,7 +136,8 @@ def planned(pages: DataFrame, least: int = 100) -> DataFrame:
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     first = p.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    return p.join(first.filter("n > 1").select("digest", "first"), "digest", "left")
+    # Written first: a join whose sides are both plain exchanges can be split where one payload is most of the table.
+    return p.join(save(first.filter("n > 1").select("digest", "first"), "first"), "digest", "left")
 
 
 def write(pages: DataFrame, *, least: int = 100, date: str = "1970-01-01T00:00:00Z", folder: str | None = None) -> DataFrame:

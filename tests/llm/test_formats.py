@@ -121,6 +121,32 @@ def test_search_equals_brute_force(spark, block):
     assert topk.search(df.limit(0)).count() == 0
 
 
+def test_search_of_large_components(spark):
+    """What a long can hold is exact, also where doubles would round; what it can't is an error."""
+    rows = [(0, [2.9e6, 1.0]), (50, [2.9e6, 1.00390625]), (1, [2.9e6, -1.0]), (2, [-2.9e6, 5.0])]
+    rows = [(i, [x * 4 for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows}
+    want = {(q, j): sum(a * b for a, b in zip(v[q], v[j], strict=True)) for q in (0, 50) for j in v if j != q}
+    assert max(want.values()) > 2**62
+    got = topk.search(df).collect()
+    assert {(r.query_id, r.vec_id): r.score for r in got} == want
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [50, 1, 2]
+    for x in (1e30, 1e14):
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.search(spark.createDataFrame([(0, [x, 1.0]), (1, [x, 2.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_stops_only_on_proof():
+    """Rows ruled out early are never among the best, whatever the distribution of impacts."""
+    rng = np.random.default_rng(8)
+    for V in (rng.integers(-300, 300, (900, 16)), (rng.standard_cauchy((900, 16)) * 20).astype(int), np.zeros((900, 4), int), np.ones((3, 4), int)):
+        Q, index = V[::9], topk.Block(V.astype(np.int64))
+        for i, found in enumerate(index.search(Q.astype(np.int64), 6, np.full(len(Q), -1), np.full(len(Q), -np.inf))):
+            s = V @ Q[i]
+            assert set(np.flatnonzero(s >= np.sort(s)[-min(6, len(s))])) <= set(found.tolist())
+
+
 def pages(spark):
     big = "<p>é" + "x" * 200
     rows = [(5, "http://a/\r\nb", big), (3, None, big), (9, "u", "small"), (4, "u", "small"), (7, "u", None), (None, "u", big), (8, "u", big), (8, "u", big), (10, "u", "")]
@@ -166,25 +192,46 @@ def test_directories(monkeypatch, small):
         warc.members(Held(b"no archive"), 10)
 
 
-def test_licenses(spark, docs):
+def words(t):
     import regex
 
-    words = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
-    want = set()
+    return [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
+
+
+def contained(text, template):
+    """Share, first and last word of the template's shingles in the text, by the definition."""
+    w, x = words(text), words(template)
+    n = min(5, len(x))
+    g = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+    at = [k for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in g]
+    return (len({tuple(w[k : k + n]) for k in at}) / len(g), at[0], at[-1] + n - 1) if at else (0, 0, 0)
+
+
+@pytest.mark.parametrize("listed", [licenses.LISTED, 0])
+def test_licenses(spark, docs, listed):
+    """listed=0 joins texts' bands with the templates' table."""
+    rng = random.Random(6)
+    given = licenses.TEMPLATES | {"short": "All rights reserved.", "one": "Copyleft", "long": " ".join(f"t{i}" for i in range(300))}
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    grant = licenses.TEMPLATES["mit-grant"].split()
-    rows += [(10**6, "before " * 30 + " ".join(grant) + " after" * 9), (10**6 + 1, " ".join(grant[:30] + ["other"] + grant[31:])), (10**6 + 2, " ".join(grant[:20])), (10**6 + 3, None), (10**6 + 4, "x")]
-    for i, t in rows:
-        w = words(t)
-        grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        for n, x in licenses.TEMPLATES.items():
-            x = words(x)
-            g = {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
-            if len(g & grams) >= 0.8 * len(g):
-                want.add((i, n))
-    got = licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, h string")).collect()
-    assert {(r.doc_id, r.license) for r in got} == want and len(want) > 3
-    assert licenses.scan(frame(spark, ODD)).count() == 0 == licenses.scan(docs.limit(0)).count()
+    grant = given["mit-grant"].split()
+    more = ["before " * 30 + " ".join(grant) + " after" * 9, " ".join(grant[:30] + ["other"] + grant[31:]), " ".join(grant[:20]), None, "x", "all rights Reserved", "copyleft", "Rights all reserved."]
+    more += [" ".join([*grant[:35], *["meanwhile"] * 500, *grant[35:]]), " ".join(grant * 3)]
+    for _ in range(40):  # what is lost leaves runs of few shingles
+        x = given[rng.choice(["mit-grant", "long", "gpl-header", "isc"])].split()
+        for k in range(rng.randrange(20), len(x), rng.randrange(18, 40)):
+            x[k] = "changed"
+        more.append(" ".join(["pad"] * rng.randrange(5) + x))
+    rows += [(10**6 + i, t) for i, t in enumerate(more)]
+    want = {(i, n): c for i, t in rows for n, x in given.items() if (c := contained(t, x))[0] >= 0.8}
+    got = licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, h string"), given, listed=listed).collect()
+    assert {(r.doc_id, r.license): (r.containment, r.first_word, r.last_word) for r in got} == want and len(got) == len(want) > 20
+    assert {n for _, n in want} >= {"short", "one", "long", "mit-grant"}
+    assert licenses.scan(frame(spark, ODD), listed=listed).count() == 0 == licenses.scan(docs.limit(0), listed=listed).count()
+
+
+def test_no_python_on_the_path(spark, docs):
+    plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
 
 
 def test_bpe_equals_library(docs):
