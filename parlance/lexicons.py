@@ -1,4 +1,4 @@
-"""Word lists, patterns and weights. Every operator takes them as parameters; these are the defaults."""
+"""Word lists, patterns and weights. Operators take them as parameters; these are the defaults."""
 
 # ---- Fixed values: lists whose members decide results. ----
 
@@ -82,8 +82,14 @@ PATTERNS = {
     ],
 }
 
+# ---- Fixed values: patterns and weights of insights, actions and quotes. ----
+
 TYPE_WEIGHTS = {"key_point": 0.7, "action_item": 0.6, "statistic": 0.6, "definition": 0.5, "conclusion": 0.7, "emphasis": 0.6, "question": 0.4, "quote": 0.5, "transition": 0.2}
 IMPERATIVE = r"^(?:Make\s+sure|Ensure|Always|Never|Don't\s+forget|Remember\s+to)\b"
+PROPER = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
+POINTING = r"\b(?:this|that|these|those|it)\s+(?:is|was|are|were)\b"
+SIMILE = r"\b(?:like\s+a|as\s+if|just\s+as)\b"
+PARALLEL = r"(\w+)\s+.*\1"
 STRONG_WORDS = "never always every must truth believe power change future".split()
 TAGS = {
     "infrastructure": r"\b(?:kubernetes|docker|cloud|server|deploy)\b",
@@ -91,6 +97,9 @@ TAGS = {
     "performance": r"\b(?:performance|latency|throughput|cache|optimize)\b",
 }
 ACRONYMS = r"\b(?:API|SDK|AI|ML|UI|UX|DevOps|CI/CD|REST|GraphQL|SQL|NoSQL)\b"
+
+# ---- Fixed values: names, words and types of entities. ----
+
 SCRIPTURES = [
     r"\b(Bhagavad\s+Gita|Gita)\b",
     r"\b(Upanishad|Vedanta|Yoga\s+Sutra|Brahma\s+Sutra)\b",
@@ -99,4 +108,17 @@ SCRIPTURES = [
     r"\b(Patanjali|Shankaracharya|Vivekananda)\b",
 ]
 COMMON_FIRST_WORDS = "The This That There These Those What When Where Why How Very Also Just Even Still".split()
+NER_TYPES = {"PERSON": "person", "ORG": "concept", "GPE": "place", "LOC": "place", "EVENT": "event", "WORK_OF_ART": "text", "NORP": "concept"}
+
+# ---- Fixed values: emotions that a model may name, by sign. ----
+
+GLAD, SORRY = ["joy", "surprise", "love"], ["anger", "sadness", "fear", "disgust"]
+
+# ---- Fixed values: separators of chunks, best first. ----
+
+SEPARATORS = ["\n\n", "\n", "।", ".", "!", "?", ";", ",", " ", ""]
+
+# ---- Fixed values: requests an hour by tier, and paths that need none. ----
+
+EXEMPT = ["/", "/health", "/docs", "/redoc", "/openapi.json", "/config"]
 TIER_LIMITS = {"anonymous": 3, "alpha": 10, "pro": 100}

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance import lexicons as lex
 from parlance.functions import text as T
+from parlance.operators.hooks import with_model
 
+REFERENCE = "ref_id string, source_video string, target_video string, shared long, similarity double, ref_type string"
 NAME = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 
 
-def entities(docs: DataFrame, name: str = NAME, longer: int = 5, scriptures: list[str] | None = None, common: list[str] | None = None) -> DataFrame:
-    """video_id, entity_id, name, entity_type, frequency: capitalised names, scriptures and Devanagari terms of each text."""
+def entities(docs: DataFrame, name: str = NAME, longer: int = 5, scriptures: list[str] | None = None, common: list[str] | None = None, *, ordered: bool = False) -> DataFrame:
+    """video_id, entity_id, name, entity_type, frequency: capitalised names, scriptures and Devanagari terms of each text. ordered: with ord, where each was found first."""
     t = F.coalesce(F.col("text"), F.lit(""))
     found = lambda p: F.regexp_extract_all(t, F.lit(p), 1)
     kinds = [(found(name), "concept"), *((found("(?i)" + p), "text") for p in scriptures or lex.SCRIPTURES), (F.array_distinct(found("([ऀ-ॿ]{3,})")), "term")]
@@ -22,7 +29,39 @@ def entities(docs: DataFrame, name: str = NAME, longer: int = 5, scriptures: lis
     plain = (F.length("name") > longer) & ~F.substring_index("name", " ", 1).isin(common or lex.COMMON_FIRST_WORDS)
     e = e.filter((F.col("entity_type") != "concept") | plain).withColumn("entity_id", T.entity_id(F.col("name"), F.col("entity_type")))
     g = e.groupBy("video_id", "entity_id").agg(F.min(F.struct("ord", "name", "entity_type")).alias("f"), F.count("*").alias("frequency"))
-    return g.select("video_id", "entity_id", "f.name", "f.entity_type", "frequency")
+    return g.select("video_id", "entity_id", "f.name", "f.entity_type", "frequency", *(["f.ord"] if ordered else []))
+
+
+def recognised(docs: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame] | None = None, longest: int = 100_000) -> DataFrame:
+    """video_id, entity_id, name, entity_type, frequency: names that an outside model finds in the first `longest` characters of each text.
+
+    model: from batches of video_id, text to rows of video_id, name, label; labels without a type here and names of under
+    three characters are left out. Without a model there are none.
+    """
+    none = lambda batch: pd.DataFrame({"video_id": [], "name": [], "label": []})
+    got = with_model(docs.select("video_id", F.substring(F.coalesce("text", F.lit("")), 1, longest).alias("text")), "video_id string, name string, label string", model, none)
+    kind = F.coalesce(*(F.when(F.col("label") == k, F.lit(v)) for k, v in lex.NER_TYPES.items()))
+    e = got.select("video_id", T.strip(F.col("name")).alias("name"), kind.alias("entity_type")).filter((F.length("name") >= 3) & F.col("entity_type").isNotNull())
+    e = e.withColumn("entity_id", T.entity_id(F.col("name"), F.col("entity_type")))
+    return e.groupBy("video_id", "entity_id").agg(F.min("name").alias("name"), F.min("entity_type").alias("entity_type"), F.count("*").alias("frequency"))
+
+
+def united(*parts: DataFrame) -> DataFrame:
+    """video_id, entity_id, name, entity_type, frequency, description, ord: what several extractors found, the earlier ones first.
+
+    Frequencies add up; the name and type come from the first that found it, the description from the first longest. Each
+    part has video_id, entity_id, name, entity_type, frequency, and may have description and ord.
+    """
+    one = lambda i, p: p.select("video_id", "entity_id", "name", "entity_type", F.col("frequency").cast("long").alias("frequency"), (F.col("description") if "description" in p.columns else F.lit("")).alias("description"), F.lit(i).alias("src"), (F.col("ord").cast("int") if "ord" in p.columns else F.lit(0)).alias("ord"))
+    u = reduce(lambda a, b: a.unionByName(b), (one(i, p) for i, p in enumerate(parts)))
+    g = u.groupBy("video_id", "entity_id").agg(F.min(F.struct("src", "ord", "name", "entity_type")).alias("f"), F.sum("frequency").alias("frequency"), _longest())
+    return g.select("video_id", "entity_id", "f.name", "f.entity_type", "frequency", "description", (F.shiftleft(F.col("f.src").cast("long"), 32) + F.col("f.ord")).alias("ord"))
+
+
+def _longest(order: str = "src") -> Column:
+    """The longest description of a group; of several the first by `order`."""
+    d = F.coalesce("description", F.lit(""))
+    return F.min(F.struct((-F.length(d)).alias("n"), F.col(order), d.alias("d")))["d"].alias("description")
 
 
 def merged(ents: DataFrame) -> DataFrame:
@@ -33,7 +72,7 @@ def merged(ents: DataFrame) -> DataFrame:
 
 
 def cooccurrences(docs: DataFrame, ents: DataFrame) -> DataFrame:
-    """source_id, target_id, weight: in how many sentences two entities of a video stand together, by whole names.
+    """source_id, target_id, weight: in how many sentences two entities of a video stand together. A name counts wherever its characters stand, also within a longer word.
 
     A sentence's names are found in its own row, so pairs never leave it before they are added up.
     """
@@ -44,6 +83,117 @@ def cooccurrences(docs: DataFrame, ents: DataFrame) -> DataFrame:
     return j.select(F.explode(pairs).alias("p")).groupBy("p.source_id", "p.target_id").agg(F.count("*").alias("weight"))
 
 
+def relationships(docs: DataFrame, ents: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """source_id, target_id, relation_type, weight, context, source_video: entities of a video in one sentence, and concepts that explain a term.
+
+    ents: video_id, entity_id, name, ord, and aliases (array) where there are any; pairs go from the entity found first.
+    known: the parsed knowledge of videos; a concept whose explanation holds a term or its transliteration explains it,
+    with weight 2. Weights of equal pairs add up; context (200 characters) and video are those of the first.
+    """
+    # Sentences end at a mark before white space, which goes; short ones count too.
+    s = docs.select("video_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.!?।॥]\s+")).alias("idx", "sentence")).withColumn("low", F.lower("sentence"))
+    alias = F.col("aliases") if "aliases" in ents.columns else F.array().cast("array<string>")
+    all_ = ents.select("video_id", "entity_id", "ord", F.posexplode(F.concat(F.array("name"), F.coalesce(alias, F.array().cast("array<string>")))).alias("k", "name"))
+    # Of a video's entities with one name the last is meant, in the place of the first.
+    one = all_.withColumn("name", F.lower("name")).groupBy("video_id", "name").agg(F.max(F.struct("ord", "entity_id"))["entity_id"].alias("entity_id"), F.min(F.struct("ord", "k")).alias("at"))
+    names = one.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "entity_id"))).alias("names"))
+    hit = F.transform(F.filter("names", lambda n: F.contains(F.col("low"), n["name"])), lambda n: n["entity_id"])
+    j = s.join(names, "video_id").select("video_id", "idx", F.substring("sentence", 1, 200).alias("context"), hit.alias("hit"))
+    pairs = F.flatten(F.transform("hit", lambda a, i: F.transform(F.filter(F.slice("hit", i + 2, F.size("hit")), lambda b: b != a), lambda b: F.struct(a.alias("source_id"), b.alias("target_id")))))
+    r = j.select("video_id", "idx", "context", F.explode(pairs).alias("p")).select("p.*", F.lit("related_to").alias("relation_type"), F.lit(1.0).alias("weight"), F.struct("video_id", "idx", "context").alias("f"))
+    if known is not None:
+        r = r.unionByName(_explained(known, ents))
+    return merged_relationships(r)
+
+
+def _explained(known: DataFrame, ents: DataFrame) -> DataFrame:
+    """Pairs of a concept and a term of one video that its explanation holds, made in the video's own row."""
+    low = lambda x: F.lower(F.coalesce(x, F.lit("")))
+    holds = lambda c, t: F.contains(low(c["explanation"]), low(t["term"])) | ((low(t["transliteration"]) != "") & F.contains(low(c["explanation"]), low(t["transliteration"])))
+    pair = lambda c, i, t, k: F.struct((i * 10_000 + k).alias("idx"), low(c["concept"]).alias("a"), low(t["term"]).alias("b"), holds(c, t).alias("ok"))
+    some = lambda x: F.coalesce(x, F.array().cast(known.schema[x].dataType))
+    p = F.flatten(F.transform(some("key_concepts"), lambda c, i: F.filter(F.transform(some("sanskrit_terms"), lambda t, k: pair(c, i, t, k)), lambda x: x["ok"])))
+    e = known.select("video_id", F.explode(p).alias("p")).select("video_id", "p.*").filter("a <> '' and b <> ''")
+    of = lambda x: ents.groupBy("video_id", F.lower("name").alias(x)).agg(F.max(F.struct("ord", "entity_id", "name")).alias(f"e{x}"))
+    j = e.join(of("a"), ["video_id", "a"]).join(of("b"), ["video_id", "b"])
+    told = F.concat("ea.name", F.lit(" relates to "), "eb.name")
+    return j.select(F.col("ea.entity_id").alias("source_id"), F.col("eb.entity_id").alias("target_id"), F.lit("explains").alias("relation_type"), F.lit(2.0).alias("weight"), F.struct("video_id", "idx", told.alias("context")).alias("f"))
+
+
+def merged_relationships(rows: DataFrame) -> DataFrame:
+    """Weights of equal (source_id, target_id, relation_type) added up; context and source_video of the first. rows: with f (video_id, idx, context)."""
+    g = rows.groupBy("source_id", "target_id", "relation_type").agg(F.sum("weight").alias("weight"), F.min("f").alias("f"))
+    return g.select("source_id", "target_id", "relation_type", "weight", F.col("f.context").alias("context"), F.col("f.video_id").alias("source_video"))
+
+
+def entity_nodes(ents: DataFrame) -> DataFrame:
+    """entity_id, name, entity_type, frequency, source_videos (sorted), description: entities over all videos; each (entity, video) counts once.
+
+    source_videos of an entity that stands in very many videos is as long as that; merged() gives their number instead.
+    """
+    e = ents if "description" in ents.columns else ents.withColumn("description", F.lit(""))
+    once = e.dropDuplicates(["entity_id", "video_id"])
+    g = once.groupBy("entity_id").agg(F.min(F.struct("video_id", "name", "entity_type")).alias("f"), F.sum("frequency").alias("frequency"), F.array_sort(F.collect_list("video_id")).alias("source_videos"), _longest("video_id"))
+    return g.select("entity_id", "f.name", "f.entity_type", "frequency", "source_videos", "description")
+
+
+@dataclass
+class Graph:
+    """mentions: video_id, entity_id, name, entity_type, frequency, description; relations: as relationships(), a row for each video's; references: as cross_references()."""
+
+    mentions: DataFrame
+    relations: DataFrame
+    references: DataFrame
+
+
+def build_graph(mentions: DataFrame, relations: DataFrame, references: DataFrame | None = None, existing: Graph | None = None) -> Graph:
+    """A graph of what is new, or `existing` with it: an (entity, video) or reference known already isn't added again; relations' weights add up."""
+    m = mentions if "description" in mentions.columns else mentions.withColumn("description", F.lit(""))
+    m = m.select("video_id", "entity_id", "name", "entity_type", "frequency", "description")
+    r = references if references is not None else mentions.sparkSession.createDataFrame([], REFERENCE)
+    if existing is not None:
+        m = existing.mentions.unionByName(m.join(existing.mentions, ["entity_id", "video_id"], "left_anti").select(*m.columns))
+        both = existing.relations.withColumn("k", F.lit(0)).unionByName(relations.withColumn("k", F.lit(1)))
+        relations = merged_relationships(both.withColumn("f", F.struct(F.col("k").alias("o"), F.col("source_video").alias("video_id"), "context")))
+        r = existing.references.unionByName(r.join(existing.references, "ref_id", "left_anti").select(*existing.references.columns))
+    return Graph(m, relations, r)
+
+
+def named_degrees(edges: DataFrame, ents: DataFrame, k: int = 10) -> DataFrame:
+    """name, entity_type, connections: the k nodes of most edges."""
+    names = ents.groupBy("entity_id").agg(F.min(F.struct("video_id", "name", "entity_type")).alias("f"))
+    j = degrees(edges, k).join(names, F.col("node") == F.col("entity_id"))
+    return j.select("entity_id", "f.name", "f.entity_type", F.col("degree").alias("connections"))
+
+
+def matching(mentions: DataFrame, name: str | None = None, kind: str | None = None, video_id: str | None = None) -> DataFrame:
+    """entity_id, name, entity_type of entities whose name (or one of whose aliases) holds `name`, of that type, in that video."""
+    m = mentions
+    if name:
+        hit = F.contains(F.lower("name"), F.lit(name.lower()))
+        if "aliases" in m.columns:
+            hit = hit | F.exists("aliases", lambda a: F.contains(F.lower(a), F.lit(name.lower())))
+        m = m.filter(F.coalesce(hit, F.lit(False)))
+    if kind:
+        m = m.filter(F.col("entity_type") == kind)
+    if video_id:
+        m = m.filter(F.col("video_id") == video_id)
+    return m.groupBy("entity_id").agg(F.min(F.struct("video_id", "name", "entity_type")).alias("f")).select("entity_id", "f.name", "f.entity_type")
+
+
+def query(g: Graph, name: str | None = None, kind: str | None = None, video_id: str | None = None, depth: int = 2, most: int = 50, most_references: int = 20) -> dict[str, DataFrame]:
+    """entities that match; nodes within `depth` edges of them; relationships they have on the way, the heaviest `most`; references of their videos, the most alike."""
+    hit = matching(g.mentions, name, kind, video_id)
+    near = reach(g.relations, hit.select(F.col("entity_id").alias("node")), depth)
+    inner = near.filter(F.col("depth") < depth).select("node")
+    touched = lambda c: g.relations.join(inner, F.col(c) == F.col("node"), "left_semi")
+    rel = touched("source_id").unionByName(touched("target_id")).distinct().orderBy(F.desc("weight"), "source_id", "target_id", "relation_type").limit(most)
+    videos = g.mentions.join(hit, "entity_id", "left_semi").select("video_id").distinct()
+    side = lambda c: g.references.join(videos, F.col(c) == F.col("video_id"), "left_semi")
+    refs = side("source_video").unionByName(side("target_video")).dropDuplicates(["ref_id"]).orderBy(F.desc("similarity"), "ref_id").limit(most_references)
+    return {"entities": hit, "nodes": near.filter("depth > 0"), "relationships": rel, "cross_references": refs}
+
+
 def degrees(edges: DataFrame, k: int = 10) -> DataFrame:
     """node, degree: the k nodes of most edges."""
     n = edges.select(F.col("source_id").alias("node")).union(edges.select(F.col("target_id")))

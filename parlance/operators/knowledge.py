@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
+from parlance.operators import segments
 
 SCHEMA = "summary string, key_concepts array<struct<concept:string,explanation:string>>, key_quotes array<string>, sanskrit_terms array<struct<term:string,meaning:string,transliteration:string>>, study_questions array<string>, follow_up_topics array<string>"
 FIELDS = ["summary", "key_concepts", "key_quotes", "sanskrit_terms", "study_questions", "follow_up_topics"]
@@ -55,3 +56,35 @@ def entities(known: DataFrame) -> DataFrame:
     e = e.withColumn("entity_id", T.entity_id(F.col("name"), F.col("entity_type")))
     g = e.groupBy("video_id", "entity_id").agg(F.min(F.struct("ord", "name", "entity_type", "description")).alias("f"), F.greatest(F.sum("n"), F.lit(1)).alias("frequency"))
     return g.select("video_id", "entity_id", "f.name", "f.entity_type", "frequency", "f.description")
+
+
+def markdown(videos: DataFrame, known: DataFrame) -> DataFrame:
+    """video_id, body: parsed() knowledge in Markdown; sections without entries are left out, but for the concepts. videos: video_id, title, language, source, duration, url."""
+    text = lambda c, other="": F.coalesce(c, F.lit(other))
+    lines = lambda c, line: F.array_join(F.transform(F.coalesce(c, F.array().cast(known.schema[c].dataType)), line), "")
+    part = lambda c, head, line, end="\n": F.when(F.size(c) > 0, F.concat(F.lit(f"## {head}\n\n"), lines(c, line), F.lit(end))).otherwise("")
+    top = F.concat(
+        F.lit("# "), text("title"), F.lit("\n\n**Video ID:** "), F.col("video_id"), F.lit("  \n**Language:** "), text("language"), F.lit("  \n**Source:** "), text("source"),
+        F.lit("  \n**Duration:** "), text(F.col("duration").cast("string"), "Unknown"), F.lit(" seconds  \n**URL:** "), text("url"), F.lit("\n\n## Summary\n\n"), text("summary", NO_SUMMARY), F.lit("\n\n## Key Concepts\n\n"),
+    )
+    body = F.concat(
+        top,
+        lines("key_concepts", lambda x: F.concat(F.lit("### "), text(x["concept"]), F.lit("\n\n"), text(x["explanation"]), F.lit("\n\n"))),
+        part("key_quotes", "Key Quotes", lambda x: F.concat(F.lit("> "), text(x), F.lit("\n\n")), ""),
+        part("sanskrit_terms", "Sanskrit Terms", lambda x: F.concat(F.lit("- **"), text(x["term"]), F.lit("** ("), text(x["transliteration"]), F.lit("): "), text(x["meaning"]), F.lit("\n"))),
+        part("study_questions", "Study Questions", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), text(x), F.lit("\n"))),
+        part("follow_up_topics", "Follow-up Topics", lambda x: F.concat(F.lit("- "), text(x), F.lit("\n")), ""),
+    )
+    return videos.join(known, "video_id").select("video_id", body.alias("body"))
+
+
+def extractive(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The fields of parsed() without a language model: the best keywords as concepts with the first sentence that holds each, quotes, and the usual questions. docs: video_id, text."""
+    s = T.sentences(F.col("text"))
+    top = lambda s: F.struct(s.alias("s"), F.slice(segments.ranked(F.flatten(F.transform(s, lambda x: segments.kept_tokens(x)))), 1, k).alias("w"))
+    d = docs.select("video_id", T.let(s, top).alias("x")).select("video_id", F.col("x.s").alias("s"), F.col("x.w").alias("w"))
+    first = lambda w: F.coalesce(F.get(F.filter("s", lambda x: F.contains(F.lower(x), w)), F.lit(0)), F.lit(""))
+    concepts = F.transform("w", lambda w: F.struct(w.alias("concept"), first(w).alias("explanation")))
+    none = lambda k: F.from_json(F.lit("[]"), dict(zip(FIELDS, SCHEMA.split(", "), strict=True))[k].split(" ", 1)[1])
+    quotes = F.slice(F.filter("s", lambda x: F.length(x).between(30, 200)), 1, k)
+    return d.select("video_id", F.array_join(F.slice("s", 1, 3), " ").alias("summary"), concepts.alias("key_concepts"), quotes.alias("key_quotes"), none("sanskrit_terms").alias("sanskrit_terms"), F.array(*map(F.lit, QUESTIONS)).alias("study_questions"), F.slice("w", 1, 3).alias("follow_up_topics"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance import lexicons as lex
@@ -14,27 +14,50 @@ from parlance.functions import text as T
 from parlance.operators.hooks import hashed
 
 
-def top_tokens(text, k: int = 15, stop: list[str] | None = None):
-    """The k most frequent tokens of a text as an array, best first, ties by first place; all within the row."""
-    stop_col = F.array(*map(F.lit, stop or lex.STOP_WORDS))
+def kept_tokens(text: Column, stop: list[str] | None = None) -> Column:
+    """Tokens of a text that aren't stop words."""
+    return F.filter(T.tokens(text), lambda w: ~w.isin(stop or lex.STOP_WORDS))
 
-    def ranked(t):
-        counted = F.transform(F.array_distinct(t), lambda w: F.struct((-F.size(F.filter(t, lambda x: x == w))).alias("n"), F.array_position(t, w).alias("at"), w.alias("w")))
+
+def ranked(tokens: Column, k: int = 15) -> Column:
+    """The k most frequent of an array of tokens, best first, ties by first place; all within the row."""
+
+    def best(t):
+        # What is left without a token tells how often it came; removing is one pass of the engine's own code.
+        counted = F.transform(F.array_distinct(t), lambda w: F.struct(F.size(F.array_remove(t, w)).alias("rest"), F.array_position(t, w).alias("at"), w.alias("w")))
         return F.slice(F.transform(F.array_sort(counted), lambda s: s["w"]), 1, k)
 
-    return T.let(F.filter(T.tokens(text), lambda w: ~F.array_contains(stop_col, w)), ranked)
+    return T.let(tokens, best)
+
+
+def similarities(s: Column, least: int = 3, stop: list[str] | None = None) -> Column:
+    """Structs of idx and similarity for an array of sentences: keyword overlap of the up to three before and from each place on.
+
+    Sentences are cut into tokens once, and each window of three is ranked once, though two places look at it.
+    """
+
+    def scored(tok):
+        top = lambda at, n: ranked(F.flatten(F.slice(tok, at + 1, n)))
+        from_ = lambda n: F.when(F.size(tok) > n, F.sequence(F.lit(n), F.greatest(F.size(tok) - 1, F.lit(n)))).otherwise(F.array().cast("array<int>"))
+
+        def pairs(wins):
+            def one(i):
+                a, b = F.get(wins, i - 3), F.get(wins, i)
+                if least < 3:
+                    a, b = F.when(i < 3, top(F.lit(0), i)).otherwise(a), F.when(i < 3, top(i, i)).otherwise(b)
+                return T.let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), F.struct(i.alias("idx"), F.round(F.size(F.array_intersect(x["a"], x["b"])) / F.size(F.array_union(x["a"], x["b"])), 6).alias("similarity"))))
+
+            return F.filter(F.transform(from_(least), one), lambda x: x.isNotNull())
+
+        return T.let(F.transform(from_(0), lambda i: top(i, 3)), pairs)
+
+    return T.let(F.transform(s, lambda x: kept_tokens(x, stop)), scored)
 
 
 def boundary_scores(docs: DataFrame, least: int = 3, stop: list[str] | None = None) -> DataFrame:
-    """video_id, idx, similarity: keyword overlap of the up to three sentences before and from each place on."""
-    s = docs.select("video_id", T.sentences(F.col("text")).alias("s"))
-    at = F.when(F.size("s") > least, F.sequence(F.lit(least), F.greatest(F.size("s") - 1, F.lit(least)))).otherwise(F.array().cast("array<int>"))
-    e = s.select("video_id", "s", F.explode(at).alias("idx"))
-    n = F.least(F.lit(3), F.col("idx"))
-    a = top_tokens(F.array_join(F.slice("s", F.col("idx") - n + 1, n), " "), stop=stop)
-    b = top_tokens(F.array_join(F.slice("s", F.col("idx") + 1, n), " "), stop=stop)
-    e = e.select("video_id", "idx", a.alias("a"), b.alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
-    return e.select("video_id", "idx", F.round(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")), 6).alias("similarity"))
+    """video_id, idx, similarity: keyword overlap of the up to three sentences before and from each place on. No shuffle."""
+    s = docs.select("video_id", T.let(T.sentences(F.col("text")), lambda s: similarities(s, least, stop)).alias("x"))
+    return s.select("video_id", F.explode("x").alias("x")).select("video_id", "x.idx", "x.similarity")
 
 
 def embedding_scores(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashed, size: int = 3) -> DataFrame:
@@ -56,65 +79,84 @@ def embedding_scores(docs: DataFrame, embed: Callable[[list[str]], np.ndarray] =
     return docs.select("video_id", T.sentences(F.col("text")).alias("s")).mapInPandas(run, "video_id string, idx int, similarity double")
 
 
+def starting(at: Column, least: int = 3) -> Column:
+    """0 and the places of a sorted array that lie at least `least` behind the last that counted."""
+    return F.aggregate(at, F.array(F.lit(0)), lambda a, x: F.when(x - F.element_at(a, -1) >= least, F.concat(a, F.array(x))).otherwise(a))
+
+
 def boundaries(scores: DataFrame, least: int = 3, below: float = 0.2) -> DataFrame:
     """video_id, starts: places of low similarity, each at least `least` sentences behind the last that counted."""
     g = scores.filter(F.col("similarity") < below).groupBy("video_id").agg(F.array_sort(F.collect_list("idx")).alias("c"))
-    fold = F.aggregate("c", F.array(F.lit(0)), lambda a, x: F.when(x - F.element_at(a, -1) >= least, F.concat(a, F.array(x))).otherwise(a))
-    return g.select("video_id", fold.alias("starts"))
+    return g.select("video_id", starting(F.col("c"), least).alias("starts"))
 
 
-def topics(docs: DataFrame, least: int = 3, most: int = 20, stop: list[str] | None = None, below: float = 0.2) -> DataFrame:
-    """video_id, topic_id, title, summary, start_time, end_time, start_index, end_index, text, keywords, confidence (3 s a sentence)."""
-    s = docs.select("video_id", F.col("text").alias("whole"), T.sentences(F.col("text")).alias("s"))
-    j = s.join(boundaries(boundary_scores(docs, least, stop), least, below), "video_id", "left")
-    starts = F.slice(F.coalesce("starts", F.array(F.lit(0))), 1, most)
-    one = F.size("s") < least
-    j = j.withColumn("starts", F.when(one, F.array(F.lit(0))).otherwise(starts)).filter(F.size("s") > 0)
+def topics(docs: DataFrame, least: int = 3, most: int = 20, stop: list[str] | None = None, below: float = 0.2, ends: DataFrame | None = None) -> DataFrame:
+    """video_id, topic_id, title, summary, start_time, end_time, start_index, end_index, text, keywords, confidence.
+
+    Boundaries are found in the row: no text is shuffled. A sentence takes 3 s, or its share of the video's length where
+    `ends` (video_id, end: of the last recognised segment) has one.
+    """
+    low = lambda s: F.transform(F.filter(similarities(s, least, stop), lambda x: x["similarity"] < below), lambda x: x["idx"])
+    both = lambda s: F.struct(s.alias("s"), starting(low(s), least).alias("starts"))
+    j = docs.select("video_id", F.col("text").alias("whole"), T.let(T.sentences(F.col("text")), both).alias("x")).select("video_id", "whole", F.col("x.s").alias("s"), F.col("x.starts").alias("starts"))
+    few = F.size("s") < least
+    j = j.withColumn("starts", F.when(few, F.array(F.lit(0))).otherwise(F.slice("starts", 1, most))).filter(F.size("s") > 0)
+    if ends is not None:
+        j = j.join(ends.select("video_id", F.col("end").cast("double").alias("long")), "video_id", "left")
+    else:
+        j = j.withColumn("long", F.lit(None).cast("double"))
     e = j.select("*", F.posexplode("starts").alias("topic_id", "start_index"))
     e = e.withColumn("end_index", F.coalesce(F.get("starts", F.col("topic_id") + 1), F.size("s"))).withColumn("part", F.slice("s", F.col("start_index") + 1, F.col("end_index") - F.col("start_index")))
-    e = e.withColumn("text", F.array_join("part", " ")).withColumn("keywords", F.slice(top_tokens(F.col("text"), stop=stop), 1, 10))
+    e = e.withColumn("keywords", F.slice(ranked(F.flatten(F.transform("part", lambda x: kept_tokens(x, stop)))), 1, 10))
     first = F.get("part", F.lit(0))
     title = F.when(F.length(first) <= 60, F.regexp_replace(first, r"\.+$", "")).when(F.size("keywords") > 0, F.array_join(F.transform(F.slice("keywords", 1, 4), F.initcap), " — ")).otherwise(F.concat(F.array_join(F.slice(T.words(first), 1, 8), " "), F.lit("...")))
     head = F.array_join(F.slice("part", 1, 3), " ")
     summary = F.when(F.length(head) > 400, F.concat(F.substring(head, 1, 397), F.lit("..."))).otherwise(head)
     whole = F.when(F.length("whole") > 300, F.concat(F.substring("whole", 1, 300), F.lit("..."))).otherwise(F.col("whole"))
-    few = F.size("s") < least
+    time = lambda i: F.when(F.col("long") > 0, F.round(F.col(i) / F.size("s") * F.col("long"), 6)).otherwise(F.col(i) * 3.0)
     return e.select(
         "video_id", "topic_id", F.when(few, "Main Content").otherwise(title).alias("title"), F.when(few, whole).otherwise(summary).alias("summary"),
-        F.when(few, 0.0).otherwise(F.col("start_index") * 3.0).alias("start_time"), F.when(few, 0.0).otherwise(F.col("end_index") * 3.0).alias("end_time"),
-        "start_index", "end_index", F.when(few, F.col("whole")).otherwise(F.col("text")).alias("text"), "keywords", F.when(few, 1.0).when(F.size("part") >= 5, 0.7).otherwise(0.5).alias("confidence"),
+        F.when(few, 0.0).otherwise(time("start_index")).alias("start_time"), F.when(few, F.coalesce("long", F.lit(0.0))).otherwise(time("end_index")).alias("end_time"),
+        "start_index", "end_index", F.when(few, F.col("whole")).otherwise(F.array_join("part", " ")).alias("text"), "keywords", F.when(few, 1.0).when(F.size("part") >= 5, 0.7).otherwise(0.5).alias("confidence"),
     )
 
 
+def average_duration(tops: DataFrame) -> DataFrame:
+    """video_id, average: the mean length of the topics that have any; 0 where none has."""
+    d = F.col("end_time") - F.col("start_time")
+    return tops.groupBy("video_id").agg(F.round(F.coalesce(F.avg(F.when(d > 0, d)), F.lit(0.0)), 6).alias("average"))
+
+
 def chapters(tops: DataFrame, shortest: float = 60.0, most: int = 15, alike: float = 0.6) -> DataFrame:
     """video_id, chapter_id, title, start_time, end_time, duration, summary, topic_ids: topics joined in order.
 
-    Joining the shortest neighbours again and again has no form in columns; a video's topics are few.
+    A topic joins the group before it while that is shorter than `shortest` or their keywords are alike; then the
+    neighbours that are shortest together are joined until at most `most` are left. Two folds over a video's topics,
+    which are few; of a topic's text only its length is shuffled.
     """
-    schema = "video_id string, chapter_id int, title string, start_time double, end_time double, duration double, summary string, topic_ids array<int>"
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("topic_id").to_dict("records")
-        length = lambda g: sum(t["end_time"] - t["start_time"] for t in g)
-        groups = [[rows[0]]]
-        for before, t in zip(rows, rows[1:], strict=False):
-            a, b = set(before["keywords"]), set(t["keywords"])
-            if length(groups[-1]) < shortest or (a and b and len(a & b) / len(a | b) > alike):
-                groups[-1].append(t)
-            else:
-                groups.append([t])
-        while len(groups) > max(most, 1):
-            i = min(range(len(groups) - 1), key=lambda k: length(groups[k] + groups[k + 1]))
-            groups[i : i + 2] = [groups[i] + groups[i + 1]]
-        return pd.DataFrame(
-            [
-                (g[0]["video_id"], n, max(g, key=lambda t: len(t["text"]))["title"], g[0]["start_time"], g[-1]["end_time"], g[-1]["end_time"] - g[0]["start_time"], " ".join(t["summary"] for t in g if t["summary"])[:500], [int(t["topic_id"]) for t in g])
-                for n, g in enumerate(groups)
-            ],
-            columns=[c.split()[0] for c in schema.split(", ")],
-        )
-
-    return tops.groupBy("video_id").applyInPandas(group, schema)
+    t = F.struct("topic_id", "title", "start_time", "end_time", "summary", F.length("text").alias("size"), "keywords")
+    v = tops.groupBy("video_id").agg(F.array_sort(F.collect_list(t)).alias("t"))
+    long_ = lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + (x["end_time"] - x["start_time"]))
+
+    def grow(groups, x):
+        last = F.element_at(groups, -1)
+        joins = (long_(last) < shortest) | (T.jaccard(F.element_at(last, -1)["keywords"], x["keywords"]) > alike)
+        return F.when(joins, F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(F.concat(last, F.array(x))))).otherwise(F.concat(groups, F.array(F.array(x))))
+
+    def shrink(groups, _):
+        pairs = F.transform(F.sequence(F.lit(0), F.size(groups) - 2), lambda i: F.struct((long_(F.get(groups, i)) + long_(F.get(groups, i + 1))).alias("d"), i.alias("i")))
+        def merged(i):
+            return F.concat(F.slice(groups, 1, i), F.array(F.concat(F.get(groups, i), F.get(groups, i + 1))), F.slice(groups, i + 3, F.size(groups)))
+        return F.when(F.size(groups) > max(most, 1), T.let(F.array_min(pairs)["i"], merged)).otherwise(groups)
+
+    grown = F.aggregate(F.slice("t", 2, F.size("t")), F.array(F.slice("t", 1, 1)), grow)
+    v = v.select("video_id", grown.alias("g"))
+    v = v.select("video_id", F.aggregate(F.sequence(F.lit(1), F.size("g")), F.col("g"), shrink).alias("g"))
+    e = v.select("video_id", F.posexplode("g").alias("chapter_id", "g"))
+    title = F.array_min(F.transform("g", lambda x, i: F.struct((-x["size"]).alias("n"), i.alias("i"), x["title"].alias("title"))))["title"]
+    told = F.substring(F.array_join(F.filter(F.transform("g", lambda x: x["summary"]), lambda x: x != ""), " "), 1, 500)
+    start, end = F.get("g", F.lit(0))["start_time"], F.element_at("g", -1)["end_time"]
+    return e.select("video_id", "chapter_id", title.alias("title"), start.alias("start_time"), end.alias("end_time"), (end - start).alias("duration"), told.alias("summary"), F.transform("g", lambda x: x["topic_id"]).alias("topic_ids"))
 
 
 def nearest(targets: DataFrame, signals: DataFrame, within: float = 10.0) -> DataFrame:

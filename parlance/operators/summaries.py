@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import segments
+from parlance.operators import segments, speech
+from parlance.sources.scratch import ready
 
 # Fixed values of the reports: signs and weights.
 PRIORITY_SIGNS = {"high": "🔴", "medium": "🟡", "low": "🟢"}
@@ -74,6 +75,22 @@ def chapter_sentiment(chaps: DataFrame, arc: DataFrame) -> DataFrame:
     return g.withColumn("sentiment", F.when(s > 0.15, "positive").when(s < -0.15, "negative").otherwise("neutral"))
 
 
+def split_manifest(chaps: DataFrame, ending: str = "mp4") -> DataFrame:
+    """video_id, chapter_id, title, buffer_start, buffer_end, file: what to cut each recording into. chaps: of enhanced_chapters()."""
+    name = F.format_string(f"chapter_%02d_%s.{ending}", "chapter_id", T.file_name(F.col("title")))
+    return chaps.select("video_id", "chapter_id", "title", "buffer_start", "buffer_end", name.alias("file"))
+
+
+def chapter_topics(chaps: DataFrame, tops: DataFrame) -> DataFrame:
+    """video_id, chapter_id, topic_ids: those of the chapter, or where it has none those of the topics that lie wholly within it."""
+    own = chaps.select("video_id", "chapter_id", "start_time", "end_time", "topic_ids")
+    t = tops.select("video_id", "topic_id", F.col("start_time").alias("_a"), F.col("end_time").alias("_b"))
+    hit = own.join(t, "video_id").filter((F.col("_a") >= F.col("start_time")) & (F.col("_b") <= F.col("end_time")))
+    got = hit.groupBy("video_id", "chapter_id").agg(F.array_sort(F.collect_list("topic_id")).alias("found"))
+    ids = F.when(F.size(F.coalesce("topic_ids", F.array().cast("array<int>"))) > 0, F.col("topic_ids")).otherwise(F.coalesce("found", F.array().cast("array<int>")))
+    return own.join(got, ["video_id", "chapter_id"], "left").select("video_id", "chapter_id", ids.alias("topic_ids"))
+
+
 def chapter_slides(chaps: DataFrame, found: DataFrame, most: int = 5, clip: int = 200) -> DataFrame:
     """video_id, chapter_id, slide_texts: the first slides (video_id, timestamp, text) of each chapter."""
     s = within_chapters(chaps, found, "timestamp")
@@ -140,7 +157,7 @@ def _percent(x: str) -> Column:
     return F.format_string("%.0f%%", F.col(x) * 100)
 
 
-def markdown(videos: DataFrame, brief: DataFrame, tone: DataFrame, graded: DataFrame, chaps: DataFrame, found: DataFrame, acts: DataFrame, said: DataFrame, arc: DataFrame | None = None, *, timestamps: bool = True, sentiment: bool = True, action_items: bool = True, quotes: bool = True) -> DataFrame:
+def markdown(videos: DataFrame, brief: DataFrame, tone: DataFrame, graded: DataFrame, chaps: DataFrame, found: DataFrame, acts: DataFrame, said: DataFrame, arc: DataFrame | None = None, *, slides: DataFrame | None = None, timestamps: bool = True, sentiment: bool = True, action_items: bool = True, quotes: bool = True) -> DataFrame:
     """video_id, body: the report in Markdown; the flags leave sections out, and empty ones are left out. videos: video_id, title, duration."""
 
     def section(df: DataFrame, head: str, line: Column, name: str, *order: Column, n: int | None = None, wrap: str = "%s") -> DataFrame:
@@ -157,7 +174,13 @@ def markdown(videos: DataFrame, brief: DataFrame, tone: DataFrame, graded: DataF
     if sentiment and arc is not None:
         full = full.join(chapter_sentiment(chaps, arc), ["video_id", "chapter_id"], "left")
         mood = F.when(c("sentiment") != "neutral", F.format_string("*Sentiment: %s (%+.2f)*\n", _words(c("sentiment")), "sentiment_score"))
-    chapter = F.concat_ws("\n", F.format_string("### %d. %s [%s]\n", c("chapter_id") + 1, "title", T.stamp(c("start_time"))), F.when(F.length("summary") > 0, F.concat(F.substring("summary", 1, 300), F.lit("\n"))), mood, F.concat(F.lit("**Key Points:**\n"), "points", F.lit("\n")))
+    shown = F.lit(None).cast("string")
+    if slides is not None:
+        seen = chapter_slides(chaps, slides, 3, 100)
+        seen = seen.select("video_id", "chapter_id", F.array_join(F.transform("slide_texts", lambda x: F.concat(F.lit("> "), x)), "\n").alias("shown"))
+        full = full.join(seen, ["video_id", "chapter_id"], "left")
+        shown = F.concat(F.lit("**Slides:**\n"), "shown", F.lit("\n"))
+    chapter = F.concat_ws("\n", F.format_string("### %d. %s [%s]\n", c("chapter_id") + 1, "title", T.stamp(c("start_time"))), F.when(F.length("summary") > 0, F.concat(F.substring("summary", 1, 300), F.lit("\n"))), mood, F.concat(F.lit("**Key Points:**\n"), "points", F.lit("\n")), shown)
     sign = F.coalesce(F.create_map(*(F.lit(x) for kv in PRIORITY_SIGNS.items() for x in kv))[c("priority")], F.lit(OTHER_SIGN))
     parts = [brief, tone.select("video_id", "label"), graded, section(full, "Chapters", chapter, "p1", c("chapter_id"))]
     if timestamps:
@@ -205,6 +228,51 @@ def store_insights(found: DataFrame, path: str) -> DataFrame:
     if old is not None:
         touched = new.select("bucket").distinct()
         kept = old.join(touched, "bucket", "left_semi").join(new.select("video_id").distinct(), "video_id", "left_anti")
+        ready(spark)
         new = new.unionByName(kept.select(*new.columns)).checkpoint()  # files are read before they are replaced
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     return spark.read.parquet(path)
+
+
+def index_entries(found: DataFrame, clip: int = 300) -> DataFrame:
+    """Findings as the store keeps them: texts cut to `clip` characters."""
+    return found.withColumn("text", F.substring("text", 1, clip))
+
+
+def index_totals(store: DataFrame) -> DataFrame:
+    """One row: total_videos, total_insights."""
+    return store.agg(F.count_distinct("video_id").alias("total_videos"), F.count("*").alias("total_insights"))
+
+
+def store_status(found: DataFrame, store: DataFrame) -> DataFrame:
+    """video_id, insights_saved, total_videos_in_db: what a load of findings left in the store."""
+    n = found.groupBy("video_id").agg(F.count("*").alias("insights_saved"))
+    return n.crossJoin(F.broadcast(index_totals(store).select(F.col("total_videos").alias("total_videos_in_db"))))  # one row
+
+
+def summarize(docs: DataFrame, scenes: DataFrame | None = None, changes: DataFrame | None = None, *, segs: DataFrame | None = None, slides: DataFrame | None = None, patterns: dict | None = None, positive: list | None = None, negative: list | None = None, most: int = 50, least: float = 0.3, shortest: float = 60.0, most_chapters: int = 15, below: float = 0.2) -> dict[str, DataFrame]:
+    """All parts of the report on each of docs (video_id, title, text): topics, chapters, insights, actions, quotes, arc, tone, grades, quality, summary, markdown and json.
+
+    scenes, changes: video_id, s; segs: recognised segments; slides: video_id, timestamp, text. Each is optional.
+    """
+    none = lambda: docs.select("video_id", F.lit(0.0).alias("s")).limit(0)
+    timed = speech.timed_sentences(docs) if segs is None else speech.timed_segments(segs, docs)
+    length = timed.groupBy("video_id").agg(F.max("end").alias("duration"))
+    videos = docs.select("video_id", F.coalesce("title", F.lit("")).alias("title")).join(length, "video_id", "left")
+    ends = None if segs is None else segs.groupBy("video_id").agg(F.max("end").alias("end"))
+    tops = segments.topics(docs, below=below, ends=ends)
+    raw = segments.chapters(tops, shortest, most_chapters)
+    chaps = enhanced_chapters(raw, scenes if scenes is not None else none(), changes if changes is not None else none())
+    found = speech.findings(timed, patterns, least=least, most=most)
+    acts = speech.actions(found, timed)
+    arc = speech.sentiment_arc(timed, positive, negative)
+    tone = speech.overall_sentiment(arc)
+    graded = grades(videos, chaps, found, arc)
+    brief = executive_summary(videos, chaps, found, acts, tone)
+    said = speech.top_quotes(found).select("video_id", F.col("place").alias("idx"), "text", "start", F.col("importance").alias("score"))
+    lists = {"chapters": chaps, "key_insights": found.select("video_id", "rank", "insight_id", "type", "text", "start", "end", "importance", "confidence"), "action_items": acts}
+    return {
+        "topics": tops, "chapters": chaps, "youtube": segments.chapter_list(raw), "insights": found, "actions": acts, "quotes": said, "arc": arc, "tone": tone, "grades": graded,
+        "quality": insight_quality(docs, found, acts, arc), "summary": brief,
+        "markdown": markdown(videos, brief, tone, graded, chaps, found, acts, said, arc, slides=slides), "json": as_json(videos, brief, tone, graded, lists),
+    }

@@ -31,9 +31,10 @@ def frame_times(videos: DataFrame, every: float = 5.0, most: int = 200, unknown:
     return some.select("video_id", "step", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame")).select("video_id", "frame", F.round(F.col("frame") * F.col("step"), 6).alias("timestamp"))
 
 
-def slides(words: DataFrame, least: float = 0.4) -> DataFrame:
-    """video_id, timestamp, text, confidence, language: recognised words (video_id, timestamp, ord, word, conf of 100) above `least`, by frame."""
-    w = words.filter((F.col("conf") > least * 100) & (T.strip(F.col("word")) != ""))
+def slides(words: DataFrame, least: float = 0.4, *, inclusive: bool = False) -> DataFrame:
+    """video_id, timestamp, text, confidence, language: recognised words (video_id, timestamp, ord, word, conf of 100) above `least`, by frame; `inclusive`: of at least that."""
+    sure = F.col("conf") >= least * 100 if inclusive else F.col("conf") > least * 100
+    w = words.filter(sure & (T.strip(F.col("word")) != ""))
     g = w.groupBy("video_id", "timestamp").agg(F.array_sort(F.collect_list(F.struct("ord", "word"))).alias("l"), F.round(F.avg("conf") / 100, 6).alias("confidence"))
     g = g.withColumn("text", F.array_join("l.word", " "))
     return g.select("video_id", "timestamp", "text", "confidence", T.script_language(F.col("text")).alias("language"))
@@ -114,3 +115,9 @@ def visual_summary(videos: DataFrame, frames: DataFrame, unique: DataFrame, foun
         F.when(F.col("scenes") > 0, F.format_string("Detected %d scene changes.", "scenes")),
     ]
     return j.select("video_id", F.concat_ws("\n", *lines).alias("summary"))
+
+
+def analysis(videos: DataFrame, words: DataFrame, frames: DataFrame, log: DataFrame, every: float = 5.0, most: int = 200) -> dict[str, DataFrame]:
+    """frames, scenes, slides, diagrams and summary of recordings. videos: video_id, duration; words: as for slides(); frames: as for diagrams(); log: lines of the scene detector."""
+    times, scenes, unique, found = frame_times(videos, every, most), times_in_log(log), distinct_slides(slides(words)), diagrams(frames)
+    return {"frames": times, "scenes": scenes, "slides": unique, "diagrams": found, "summary": visual_summary(videos, times, unique, found, scenes)}

@@ -54,7 +54,7 @@ def repeated_phrases(s, d):
 
 
 def insight_topk(s, d):
-    return speech.insights(_timed(s, d), PATTERNS).select("video_id", "idx", "type", "importance", "confidence", "rank", F.length("context").alias("context_length"))
+    return speech.insights(_timed(s, d), PATTERNS).select("video_id", "idx", "type", "importance", "confidence", "rank", F.md5("context").alias("context_md5"))
 
 
 def insight_search(s, d):
@@ -113,7 +113,8 @@ def _vectors(s, d):
 
 
 def _query(s, d):
-    return _vectors(s, d).filter("vec_id = 0").select("embedding").first()[0]
+    """One row: the query is a join's side, not a value of the plan."""
+    return _vectors(s, d).filter("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("q"))
 
 
 def vector_topk(s, d):
@@ -126,7 +127,7 @@ def vector_filtered(s, d):
 
 def vector_topk_batch(s, d):
     v = _vectors(s, d)
-    return vectors.similar_batch(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return vectors.similar_batch(v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
 def retrieval_confidence(s, d):
@@ -134,7 +135,7 @@ def retrieval_confidence(s, d):
 
 
 def metadata_search(s, d):
-    return vectors.where(transcripts(s, d), {"language": "en", "source": "src1"}).orderBy(F.length("text").desc(), "video_id").limit(20).select("video_id", "language", "source")
+    return vectors.by_metadata(vectors.chunks(transcripts(s, d), keep=["language", "source"]), {"language": "en", "source": "src1"}).select("video_id", "chunk_index", "language", "source", "text_length")
 
 
 def _entities(s, d):
@@ -191,7 +192,7 @@ def speaker_at_time(s, d):
 
 def align_text(s, d):
     t = _turns(s, d)
-    spans = t.filter("idx % 2 = 0").select("video_id", F.col("idx").alias("id"), (F.col("start") + 0.5).alias("a"), (F.col("end") + 0.5).alias("b"))
+    spans = t.select("video_id", F.col("idx").alias("id"), (F.col("start") + 0.5).alias("a"), (F.col("end") + 0.5).alias("b"))
     return speakers.aligned(spans, t).select("video_id", "id", F.md5("text").alias("text_md5"), "turns")
 
 
@@ -305,7 +306,9 @@ QUERIES = [
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in QUERIES}
+    from parlance.plans import reports
+
+    out = {f.__name__: f for f in QUERIES} | reports.queries()
     return out | {f"chapters_{fmt}": _chapter_text(fmt) for fmt in ("youtube", "srt", "vtt", "ffmpeg")}
 
 
@@ -338,11 +341,15 @@ td AS (SELECT *, greatest(1.0::DOUBLE, len({WORDS("sentence")}) * 0.4::DOUBLE) A
 te AS (SELECT *, sum(d) OVER (PARTITION BY video_id ORDER BY idx) AS e FROM td),
 ti AS (SELECT video_id, idx, sentence, round(e - d, 3) AS start, round(e, 3) AS "end", total FROM te)"""
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}_]{{{},}}')"
-ARC = f""",
+def arc(positive: list, negative: list) -> str:
+    return f""",
 aw AS (SELECT video_id, idx, start, last("end") OVER w AS "end", array_to_string(array_agg(sentence) OVER w, ' ') AS x FROM ti WINDOW w AS (PARTITION BY video_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 ad AS (SELECT *, list_distinct({TOK.format("x", 1)}) AS w FROM aw WHERE idx % 2 = 0),
-ac AS (SELECT *, len(list_intersect(w, {_list(POSITIVE)})) AS p, len(list_intersect(w, {_list(NEGATIVE)})) AS n FROM ad),
+ac AS (SELECT *, len(list_intersect(w, {_list(positive)})) AS p, len(list_intersect(w, {_list(negative)})) AS n FROM ad),
 ar AS (SELECT video_id, idx, start, "end", round(CASE WHEN p + n = 0 THEN 0.0 ELSE (p - n)::DOUBLE / (p + n) END, 6) AS score FROM ac)"""
+
+
+ARC = arc(POSITIVE, NEGATIVE)
 LABEL = "CASE WHEN {0} > {1} THEN 'very_positive' WHEN {0} > {2} THEN 'positive' WHEN {0} < -{1} THEN 'very_negative' WHEN {0} < -{2} THEN 'negative' ELSE 'neutral' END"
 PHRASES = f""",
 pw AS (SELECT video_id, idx, {WORDS("lower(sentence)")} AS w FROM ti),
@@ -352,31 +359,35 @@ ph AS (SELECT video_id, array_to_string(g, ' ') AS phrase, count(*) AS n, min(id
        WHERE len(list_filter(g, lambda x: list_contains({_list(lex.PHRASE_STOP_WORDS)}, x))) * 10 <= len(g) * 6 GROUP BY ALL HAVING count(*) >= 2)"""
 
 
-def _insights() -> str:
+def _insights(patterns: dict | None = None) -> str:
     parts = []
-    for i, (k, ps) in enumerate(PATTERNS.items()):
-        hits = " + ".join(f"CAST(regexp_matches(sentence, '(?i){p}') AS INTEGER)" for p in ps)
+    for i, (k, ps) in enumerate((patterns or PATTERNS).items()):
+        hits = " + ".join("CAST(regexp_matches(sentence, '(?i)" + p.replace("'", "''") + "') AS INTEGER)" for p in ps)
         parts.append(f"SELECT *, {i} AS ord, '{k}' AS type, {hits} AS hits, {lex.TYPE_WEIGHTS[k]}::DOUBLE AS weight FROM ib")
     return rf""",
 ix AS (SELECT *, idx::DOUBLE / greatest(total - 1, 1) AS rel, len({WORDS("sentence")}) AS n,
-       length(substring(concat_ws(' ', lag(sentence) OVER w, '[...]', lead(sentence) OVER w), 1, 300)) AS context_length FROM ti WINDOW w AS (PARTITION BY video_id ORDER BY idx)),
+       substring(concat_ws(' ', lag(sentence) OVER w, '[...]', lead(sentence) OVER w), 1, 300) AS context FROM ti WINDOW w AS (PARTITION BY video_id ORDER BY idx)),
 ib AS (SELECT *, CASE WHEN rel < 0.15 OR rel > 0.85 THEN 0.15::DOUBLE WHEN rel < 0.3 OR rel > 0.7 THEN 0.05::DOUBLE ELSE 0::DOUBLE END + CASE WHEN n BETWEEN 8 AND 25 THEN 0.1::DOUBLE ELSE 0 END
        + CASE WHEN regexp_matches(sentence, '\d') THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(sentence, '[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+') THEN 0.05::DOUBLE ELSE 0 END AS bonus FROM ix),
 ik AS ({" UNION ALL ".join(parts)}),
 im AS (SELECT *, round(least(1.0, weight + bonus), 6) AS importance FROM ik WHERE hits > 0),
 il AS (SELECT *, row_number() OVER (PARTITION BY video_id, substring(lower(sentence), 1, 80) ORDER BY idx, ord) AS fst FROM im WHERE importance >= 0.3),
 ir AS (SELECT *, CAST(row_number() OVER (PARTITION BY video_id ORDER BY importance DESC, idx, ord) AS INTEGER) AS rank FROM il WHERE fst = 1),
-ii AS (SELECT video_id, idx, type, sentence, importance, round(least(1.0, 0.5::DOUBLE + 0.15::DOUBLE * hits), 6) AS confidence, rank, CAST(context_length AS INTEGER) AS context_length FROM ir WHERE rank <= 50)"""
+ii AS (SELECT video_id, idx, ord, type, sentence, start, importance, round(least(1.0, 0.5::DOUBLE + 0.15::DOUBLE * hits), 6) AS confidence, rank, context, md5(context) AS context_md5 FROM ir WHERE rank <= 50)"""
 
 
 TOP = lambda x: f"""list_transform(list_sort(list_transform(list_distinct({x}), lambda w: {{'n': -len(list_filter({x}, lambda y: y = w)), 'at': list_position({x}, w), 'w': w}}))[1:15], lambda z: z.w)"""
-ENT = rf""",
-en AS (SELECT video_id, regexp_extract_all(t, '{NAME}', 1) AS a, list_concat({", ".join(f"regexp_extract_all(t, '(?i){p}', 1)" for p in lex.SCRIPTURES)}) AS b, list_distinct(regexp_extract_all(t, '[ऀ-ॿ]{{3,}}')) AS c FROM v),
+def ent(name: str) -> str:
+    return rf""",
+en AS (SELECT video_id, regexp_extract_all(t, '{name}', 1) AS a, list_concat({", ".join(f"regexp_extract_all(t, '(?i){p}', 1)" for p in lex.SCRIPTURES)}) AS b, list_distinct(regexp_extract_all(t, '[ऀ-ॿ]{{3,}}')) AS c FROM v),
 eu AS (SELECT video_id, unnest(a) AS name, 'concept' AS entity_type, unnest(range(len(a))) AS ord FROM en UNION ALL SELECT video_id, unnest(b), 'text', 100000000 + unnest(range(len(b))) FROM en
        UNION ALL SELECT video_id, unnest(c), 'term', 200000000 + unnest(range(len(c))) FROM en),
 ef AS (SELECT *, substring(md5(entity_type || ':' || lower({STRIP("name")})), 1, 12) AS entity_id FROM eu
        WHERE entity_type <> 'concept' OR (length(name) > 5 AND split_part(name, ' ', 1) NOT IN {_in(lex.COMMON_FIRST_WORDS)})),
-ee AS (SELECT video_id, entity_id, arg_min(name, ord) AS name, arg_min(entity_type, ord) AS entity_type, count(*) AS frequency FROM ef GROUP BY ALL)"""
+ee AS (SELECT video_id, entity_id, arg_min(name, ord) AS name, arg_min(entity_type, ord) AS entity_type, count(*) AS frequency, min(ord) AS ord FROM ef GROUP BY ALL)"""
+
+
+ENT = ent(NAME)
 EDGE = """,
 gs AS (SELECT video_id, CAST(unnest(range(len(s))) AS INTEGER) AS idx, lower(unnest(s)) AS low FROM sl),
 gm AS (SELECT DISTINCT gs.video_id, idx, entity_id FROM gs JOIN ee ON gs.video_id = ee.video_id AND contains(low, lower(name))),
@@ -388,12 +399,16 @@ tt AS (SELECT video_id, speaker_id, idx, text, round(e - d, 3) AS start, round(e
 pa AS (SELECT video_id, speaker_id, round(sum("end" - start), 3) AS duration, count(*) AS segments FROM tt GROUP BY ALL),
 pr AS (SELECT video_id, speaker_id, duration, segments, round(duration / segments, 3) AS average, round(duration / greatest(sum(duration) OVER (PARTITION BY video_id), 1.0), 3) AS ratio,
        CAST(row_number() OVER (PARTITION BY video_id ORDER BY duration DESC, speaker_id) AS INTEGER) AS rank FROM pa)"""
-EMO = ", ".join(f"{{'s': ({' + '.join(f'''CAST(contains(lower(text), '{w}') AS INTEGER)''' for w in ws)})::DOUBLE / n, 'o': {-i}, 'e': '{k}'}}" for i, (k, ws) in enumerate(EMOTIONS.items()))
-EMOTION = rf""",
-mn AS (SELECT *, greatest(len({WORDS("lower(text)")}), 1) AS n FROM tt WHERE length({STRIP("text")}) >= 5),
-mm AS (SELECT video_id, idx, list_sort([{EMO}], 'DESC')[1] AS m FROM mn),
+def emotion(lexicon: dict, bright: list, source: str = "tt") -> str:
+    each = ", ".join(f"{{'s': ({' + '.join(f'''CAST(contains(lower(text), '{w}') AS INTEGER)''' for w in dict.fromkeys(ws))})::DOUBLE / n, 'o': {-i}, 'e': '{k}'}}" for i, (k, ws) in enumerate(lexicon.items()))
+    return rf""",
+mn AS (SELECT *, greatest(len({WORDS("lower(text)")}), 1) AS n FROM {source} WHERE length({STRIP("text")}) >= 5),
+mm AS (SELECT video_id, idx, list_sort([{each}], 'DESC')[1] AS m FROM mn),
 em AS (SELECT video_id, idx, CASE WHEN m.s > 0 THEN m.e ELSE 'neutral' END AS emotion, round(CASE WHEN m.s > 0 THEN m.s ELSE 0.5 END, 6) AS score,
-       CASE WHEN m.s = 0 THEN 'neutral' WHEN m.e IN ('joy', 'wonder') THEN 'positive' ELSE 'negative' END AS sentiment FROM mm)"""
+       CASE WHEN m.s = 0 THEN 'neutral' WHEN m.e IN {_in(bright)} THEN 'positive' ELSE 'negative' END AS sentiment FROM mm)"""
+
+
+EMOTION = emotion(EMOTIONS, ["joy", "wonder"])
 MINUTES = """,
 cp AS (SELECT video_id, CAST(floor(start / 60) AS INTEGER) AS chapter_id, min(start) AS start_time, max("end") AS end_time, arg_min(sentence, idx) AS summary FROM ti GROUP BY ALL)"""
 PARTS = """,
@@ -409,6 +424,12 @@ HMS = "lpad(CAST(({0}) // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({0})
 
 
 def oracle_sql() -> dict[str, str]:
+    from parlance.plans import oracles
+
+    return _sql() | oracles.sql()
+
+
+def _sql() -> dict[str, str]:
     w = lambda body, sel: f"WITH {body} {sel}"
     r = lambda body, sel: f"WITH RECURSIVE {body} {sel}"
     x = "CAST(floor(event_id * 7.321::DOUBLE) AS BIGINT)"
@@ -424,7 +445,7 @@ def oracle_sql() -> dict[str, str]:
         "sentiment_arc": w(DOC + ARC, f'SELECT video_id, idx, start, "end", score, {LABEL.format("score", 0.5, 0.15)} AS label FROM ar'),
         "overall_sentiment": w(DOC + ARC, f", o AS (SELECT video_id, round(avg(score), 6) AS score, count(*) AS windows FROM ar GROUP BY 1) SELECT *, {LABEL.format('score', 0.3, 0.1)} AS label FROM o"),
         "ngram_repetition": w(DOC + PHRASES, "SELECT * FROM ph"),
-        "insight_topk": w(DOC + _insights(), "SELECT video_id, idx, type, importance, confidence, rank, context_length FROM ii"),
+        "insight_topk": w(DOC + _insights(), "SELECT video_id, idx, type, importance, confidence, rank, context_md5 FROM ii"),
         "insight_search": w(DOC + _insights(), "SELECT video_id, idx, type, importance FROM ii WHERE contains(lower(sentence), 'license') AND importance >= 0.5 ORDER BY importance DESC, video_id, idx LIMIT 50"),
         "quotes": w(
             DOC,
@@ -457,11 +478,15 @@ def oracle_sql() -> dict[str, str]:
         "store_stats": "SELECT count(*) AS total, count(DISTINCT doc_id) AS videos, count(DISTINCT lang) AS languages, count(DISTINCT source) AS sources FROM documents",
         "vector_topk": f"SELECT a.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY score DESC, a.vec_id LIMIT 5",
         "vector_filtered": f"SELECT a.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.label = 3 ORDER BY score DESC, a.vec_id LIMIT 5",
-        "vector_topk_batch": f"WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5",
-        "retrieval_confidence": f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
+        "vector_topk_batch": f"WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5",
+        "retrieval_confidence": f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
             g AS (SELECT query_id, count(*) AS chunks_found, round(avg(score), 6) AS avg_similarity FROM k WHERE rank BETWEEN 2 AND 5 GROUP BY 1)
             SELECT *, CASE WHEN avg_similarity < 0.5 THEN 'low' WHEN avg_similarity < 0.7 THEN 'medium' ELSE 'high' END AS confidence FROM g""",
-        "metadata_search": "SELECT CAST(doc_id AS VARCHAR) AS video_id, lang AS language, source FROM documents WHERE lang = 'en' AND source = 'src1' ORDER BY length(text) DESC, CAST(doc_id AS VARCHAR) LIMIT 20",
+        "metadata_search": w(
+            DOC,
+            """, h AS (SELECT video_id, text, lang, source, unnest(range(0, length(text), 425)) AS a FROM v WHERE length(text) > 0 AND lang = 'en' AND source = 'src1')
+            SELECT video_id, CAST(a // 425 AS INTEGER) AS chunk_index, lang AS language, source, CAST(length(substring(text, a + 1, 500)) AS INTEGER) AS text_length FROM h ORDER BY video_id, chunk_index LIMIT 20""",
+        ),
         "entities": w(DOC + ENT, "SELECT video_id, entity_id, name, entity_type, frequency FROM ee"),
         "entity_merge": w(DOC + ENT, "SELECT entity_id, arg_min(name, video_id) AS name, arg_min(entity_type, video_id) AS entity_type, CAST(sum(frequency) AS BIGINT) AS frequency, count(*) AS videos FROM ee GROUP BY 1"),
         "cooccurrence_edges": w(DOC + ENT + EDGE, "SELECT * FROM ge"),
@@ -483,7 +508,7 @@ def oracle_sql() -> dict[str, str]:
         "speaker_profiles": w(TURN, "SELECT video_id, speaker_id, duration, segments, average, ratio, rank FROM pr"),
         "dominant_speaker": w(TURN, "SELECT video_id, speaker_id, duration FROM pr WHERE rank = 1"),
         "speaker_at_time": w(TURN, ', q AS (SELECT DISTINCT video_id, round((start + "end") / 2, 3) AS "at" FROM tt), m AS (SELECT q.video_id, q.at, arg_min(speaker_id, idx) AS speaker_id FROM q JOIN tt ON q.video_id = tt.video_id AND q.at BETWEEN start AND "end" GROUP BY ALL) SELECT q.video_id, q.at, m.speaker_id FROM q LEFT JOIN m ON q.video_id = m.video_id AND q.at = m.at'),
-        "align_text": w(TURN, ', q AS (SELECT video_id, idx AS id, start + 0.5 AS a, "end" + 0.5 AS b FROM tt WHERE idx % 2 = 0) SELECT q.video_id, id, md5(string_agg(text, \' \' ORDER BY idx)) AS text_md5, CAST(count(*) AS INTEGER) AS turns FROM q JOIN tt ON q.video_id = tt.video_id AND start < b AND "end" > a GROUP BY 1, 2'),
+        "align_text": w(TURN, ', q AS (SELECT video_id, idx AS id, start + 0.5 AS a, "end" + 0.5 AS b FROM tt) SELECT q.video_id, id, md5(string_agg(text, \' \' ORDER BY idx)) AS text_md5, CAST(count(*) AS INTEGER) AS turns FROM q JOIN tt ON q.video_id = tt.video_id AND start < b AND "end" > a GROUP BY 1, 2'),
         "emotions": w(TURN + EMOTION, "SELECT * FROM em"),
         "slide_runs": r(
             rf"""s AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, turn::DOUBLE AS timestamp, (length(coalesce(text, '')) % 10) / 10::DOUBLE AS confidence, list_distinct({WORDS("lower(coalesce(text, ''))")}) AS w,

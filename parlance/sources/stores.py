@@ -16,6 +16,15 @@ def add_chunks(chunks: DataFrame, path: str) -> None:
     new.write.mode("append").parquet(path)
 
 
+def add_videos(docs: DataFrame, path: str, *, size: int = 500, overlap: int = 75) -> DataFrame:
+    """Cuts the texts into chunks, embeds and stores them; video_id, chunks: how many each has. docs: video_id, text, and columns that chunks keep."""
+    from parlance.operators import retrieval
+
+    c = retrieval.embedded(retrieval.chunk_transcripts(docs, size, overlap).join(docs.drop("text"), "video_id"))
+    add_chunks(c, path)
+    return load(docs.sparkSession, path).join(docs.select("video_id").distinct(), "video_id", "left_semi").groupBy("video_id").agg(F.count("*").alias("chunks"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
