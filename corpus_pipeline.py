@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import langid, neardup, packing, quality, substring
-from parlance.llm.common import shared_dir
+from parlance.llm.common import remove, shared_dir, write
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: SQL can express neither a trained classifier nor signatures; tests hold the stages against brute force.
@@ -18,9 +18,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go."""
-    model = langid.fitted(docs)
-    mine = docs.select(F.struct("*").alias("row"), "text")
-    return langid.identify(mine, model).filter("not rejected").select("row.*")
+    return langid.keep(docs, langid.fitted(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +46,12 @@ STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table. A stage's output goes once the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex[:12]}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        write(stage(spark, docs, sf_dir), path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
