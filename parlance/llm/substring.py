@@ -1,12 +1,14 @@
-"""Substring dedup (operator 1): passages that repeat, found by hashes of runs of words, whatever line they stand in.
-
-Line and paragraph hashing finds only what is repeated from one line's start to its end. Repeated passages that are
-spliced into a line have none of their lines in common, so the units here are runs of `gram` words, cut anywhere, and
-sampled by winnowing: of each `window` neighbouring runs the one of least hash is a unit, so any passage of
-gram + window - 1 = 50 words has a unit that depends on the passage alone. Units are normalised (ASCII letters in lower
-case, white space as one break), digests are grouped globally, and the earliest occurrence by (doc_id, text hash,
-place) stays. All later ones are joined to runs, each is extended word by word on both sides as long as it agrees with
-the earlier text, and runs of at least `least` words are removed, with their original character offsets retained.
+"""Substring dedup (operator 1): lines and paragraphs that repeat, then passages that repeat within other lines.
+
+First pass, by the method's name: each line and each paragraph (lines up to an empty one) of at least `least` words is a
+unit. Units are normalised (ASCII letters in lower case, white space as one break), their 128-bit digests are grouped
+globally, the earliest occurrence by (doc_id, text hash, place) stays, and the others go.
+
+Second pass: repeated passages that are spliced into a line have none of their lines in common, so units there are runs
+of `gram` words, cut anywhere, and sampled by winnowing: of each `window` neighbouring runs the one of least hash is a
+unit, so any passage of gram + window - 1 = 50 words has a unit that depends on the passage alone. Units are normalised
+and grouped as above. All but the earliest are joined to runs, each is extended word by word on both sides as long as it
+agrees with the earlier text, and runs of at least `least` words go too. Original character offsets are retained.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SPACE, U64, bytes_of, drop, hold, parts, plain, runs_of, save, ship, slices, word_hashes, words_of
+from parlance.llm.common import SPACE, U64, bytes_of, drop, hold, mix, parts, plain, runs_of, save, ship, slices, word_hashes, words_of
 
 GRAM, WINDOW, LEAST = 26, 25, 50
 LAST = 2**63 - 1
@@ -66,6 +68,58 @@ def units(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "d long, th long, h long, pos int")
 
 
+def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """d, th, h, k, a, b: digest and place, in words [a, b), of each line and paragraph of at least `least` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        for batch in parts(batches, 2048):
+            data, offs = bytes_of(batch.column(2))
+            for i, j in slices(offs):
+                d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                starts, ends, rows = words_of(d, o, ~SPACE)
+                if len(starts) < least:
+                    continue
+                wh = word_hashes(d, starts, ends)
+                breaks = np.cumsum(d == 10)[starts]  # line feeds before each word
+                fresh, gap = np.diff(rows, prepend=-1) > 0, np.diff(breaks, prepend=0)
+                begin = np.searchsorted(rows, np.arange(j - i))
+                found = [np.zeros(0, np.int64)] * 2
+                for many in (1, 2):  # a line ends at one line feed, a paragraph at two
+                    cut = np.flatnonzero(fresh | (gap >= many))
+                    to = np.append(cut[1:], len(starts))
+                    long_ = to - cut >= least
+                    found = [np.concatenate([f, x[long_]]) for f, x in zip(found, (cut, to), strict=True)]
+                both = np.unique(np.stack(found, 1), axis=0)  # a paragraph of one line is one unit
+                if not len(both):
+                    continue
+                a, b = both[:, 0], both[:, 1]
+                lens = b - a
+                base = np.cumsum(lens) - lens
+                nth = np.arange(int(lens.sum())) - np.repeat(base, lens)
+                word = wh[np.repeat(a, lens) + nth]
+                keys = [mix(np.add.reduceat(mix(word + nth.astype(U64) * U64(mul) + U64(c)), base) + lens.astype(U64)) for c, mul in ((0, 0x9E3779B97F4A7C15), (1, 0xC2B2AE3D27D4EB4F))]
+                r = rows[a]
+                some = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(pa.array(r)), some.column(1).take(pa.array(r)), *(pa.array(x.view(np.int64)) for x in keys), *(pa.array((x - begin[r]).astype(np.int32)) for x in (a, b))],
+                    ["d", "th", "h", "k", "a", "b"],
+                )
+
+    return _keyed(docs).mapInArrow(run, "d long, th long, h long, k long, a int, b int")
+
+
+def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """d, th, a, b: the lines and paragraphs that an earlier place has too."""
+    ship(docs.sparkSession)
+    u = save(lines(docs, least), "lines")
+    first = u.groupBy("h", "k").agg(F.count("*").alias("n"), F.min(F.struct("d", "th", "a")).alias("f")).filter("n > 1").select("h", "k", "f")
+    first = save(first, "first")  # a join whose sides are both plain exchanges can be split where a line is hot
+    out = save(u.join(first, ["h", "k"]).filter(F.struct("d", "th", "a") != F.col("f")).select("d", "th", "a", "b").distinct(), "line_spans")
+    drop(u, first)
+    return out
+
+
 def contexts(rows: DataFrame, reach: int) -> DataFrame:
     """d, th, side, edge, ctx: hashes of up to `reach` words before (side 0, nearest first) or from (side 1) each edge asked for. rows: d, th, text, edges (array of side, edge)."""
 
@@ -89,7 +143,7 @@ def contexts(rows: DataFrame, reach: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """d, th, spans (array of a, b): for each text with later occurrences, the runs of words [a, b) that an earlier place has too."""
+    """d, th, a, b: the runs of words [a, b) that an earlier place has too."""
     ship(docs.sparkSession)
     u = save(units(docs, gram, window), "units")
     # Most units stand alone. Counts need only their hashes; whole units are shuffled once, and what repeats is little.
@@ -120,8 +174,7 @@ def repeats(docs: DataFrame, *, gram: int = GRAM, window: int = WINDOW) -> DataF
     stop = F.array_position(F.zip_with("ctx", "fctx", lambda x, y: x.eqNullSafe(y)), False)
     more = F.when(stop == 0, F.size("ctx")).otherwise(stop - 1).cast("int")
     grown = both.select("d", "th", "run", "side", F.when(F.col("side") == 0, F.col("edge") - more).otherwise(F.col("edge") + more).alias("at"))
-    spans = grown.groupBy("d", "th", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
-    out = save(spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    out = save(grown.groupBy("d", "th", "run").agg(F.min("at").alias("a"), F.max("at").alias("b")).drop("run"), "run_spans")
     drop(runs, ctx)
     return out
 
@@ -133,7 +186,8 @@ def substring_dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, wi
     n_removed are replaced. Null texts stay null, short ones as they are; rows alike in id and text are one occurrence
     and are treated alike; a null id ranks last. In a text that repeats itself, what doesn't overlap its model goes.
     """
-    marks = repeats(docs, gram=gram, window=window)
+    spans = repeated_lines(docs, least).unionByName(repeats(docs, gram=gram, window=window))
+    marks = save(spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "n_removed")))
     at, names = kept.columns.index("text"), [f"c{i}" for i in range(len(kept.columns))]
     src = plain(kept).withColumn("d", F.coalesce(F.col(names[kept.columns.index("doc_id")]), F.lit(LAST))).withColumn("th", F.xxhash64(names[at]))

@@ -151,6 +151,36 @@ def test_passages_equal_brute_force(docs):
     assert seen
 
 
+def units_of(text, least):
+    """Words [a, b) of lines and paragraphs, by splitting."""
+    out, low = set(), [w for w, _ in tokens(text)]
+    for mark in (r"\n", r"\n[\t-\r ]*\n"):
+        at = 0
+        for part in re.split(mark, text or ""):
+            n = len(tokens(part))
+            if n >= least:
+                out.add((at, at + n, tuple(low[at : at + n])))
+            at += n
+    return out
+
+
+def test_lines_and_paragraphs_equal_brute_force(spark, docs):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(3))
+    some = [" ".join(word() for _ in range(rng.randrange(3, 9))) for _ in range(30)]
+    rows = [(i, "".join(rng.choice(some) + rng.choice(["\n", "\n", " ", "\n\n", "\n \n", "\r\n"]) for _ in range(rng.randrange(12)))) for i in range(200)]
+    rows += [(300, None), (301, ""), (302, "\n\n"), (303, "one " * 50 + "\n" + "ONE  " * 50)]
+    for table, least in ((rows, 6), ([(r.doc_id, r.text) for r in docs.collect()], 20)):
+        places = collections.defaultdict(list)
+        for i, t in table:
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+            for a, b, key in units_of(low, least):
+                places[key].append((i, a, b))
+        want = {x for p in places.values() for x in sorted(p)[1:]}
+        got = [(r.d, r.a, r.b) for r in substring.repeated_lines(spark.createDataFrame(table, "doc_id long, text string"), least).collect()]
+        assert set(got) == want and len(got) == len(want) > 5
+
+
 def test_passage_spliced_into_lines(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(6))

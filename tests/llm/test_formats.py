@@ -96,6 +96,26 @@ def test_sharding(spark, docs):
     assert max(sizes) - min(sizes) < 0.02 * sum(sizes) / 7 + max(r.size for r in rows)
 
 
+def test_shards_equal_brute_force(spark, docs):
+    """With every group scheduled for itself, loads are those of the definition."""
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.text or ""] += len((r.text or "").encode()) + 16
+    for n in (3, 40):
+        loads = [0] * n
+        for x in sorted(sizes.values(), reverse=True):
+            loads[loads.index(min(loads))] += x
+        got = collections.Counter()
+        for r in sharding.shard(docs, n, fine=10**9).collect():
+            got[r.shard] += r.size
+        assert sorted(got.values()) == sorted(x for x in loads if x)
+        bundled = collections.Counter()
+        for r in sharding.shard(docs, n).collect():
+            bundled[r.shard] += r.size
+        # No bundle or group of its own is larger than the greater of these, and the last one placed makes the difference.
+        assert max(bundled.values()) - min(loads) <= max(max(sizes.values()), sum(sizes.values()) // n)
+
+
 def test_sharding_odd(spark):
     rows = sharding.shard(frame(spark, ODD), 3).collect()
     assert len(rows) == len(ODD) and len({r.shard for r in rows if r.doc_id in (1, 2)}) == 1
