@@ -38,7 +38,7 @@ def recognised(docs: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame] |
     model: from batches of video_id, text to rows of video_id, name, label; labels without a type here and names of under
     three characters are left out. Without a model there are none.
     """
-    none = lambda batch: pd.DataFrame({"video_id": [], "name": [], "label": []})
+    none = lambda batch: batch.iloc[:0][["video_id"]].assign(name="", label="")
     got = with_model(docs.select("video_id", F.substring(F.coalesce("text", F.lit("")), 1, longest).alias("text")), "video_id string, name string, label string", model, none)
     kind = F.coalesce(*(F.when(F.col("label") == k, F.lit(v)) for k, v in lex.NER_TYPES.items()))
     e = got.select("video_id", T.strip(F.col("name")).alias("name"), kind.alias("entity_type")).filter((F.length("name") >= 3) & F.col("entity_type").isNotNull())

@@ -253,19 +253,22 @@ def store_status(found: DataFrame, store: DataFrame) -> DataFrame:
 def summarize(docs: DataFrame, scenes: DataFrame | None = None, changes: DataFrame | None = None, *, segs: DataFrame | None = None, slides: DataFrame | None = None, patterns: dict | None = None, positive: list | None = None, negative: list | None = None, most: int = 50, least: float = 0.3, shortest: float = 60.0, most_chapters: int = 15, below: float = 0.2) -> dict[str, DataFrame]:
     """All parts of the report on each of docs (video_id, title, text): topics, chapters, insights, actions, quotes, arc, tone, grades, quality, summary, markdown and json.
 
-    scenes, changes: video_id, s; segs: recognised segments; slides: video_id, timestamp, text. Each is optional.
+    scenes, changes: video_id, s; segs: recognised segments; slides: video_id, timestamp, text. Each is optional. What
+    several parts read (chapters, insights, actions, arc) is checkpointed once, at the call.
     """
+    once = lambda df: (ready(df.sparkSession), df.checkpoint())[1]
     none = lambda: docs.select("video_id", F.lit(0.0).alias("s")).limit(0)
     timed = speech.timed_sentences(docs) if segs is None else speech.timed_segments(segs, docs)
     length = timed.groupBy("video_id").agg(F.max("end").alias("duration"))
     videos = docs.select("video_id", F.coalesce("title", F.lit("")).alias("title")).join(length, "video_id", "left")
     ends = None if segs is None else segs.groupBy("video_id").agg(F.max("end").alias("end"))
     tops = segments.topics(docs, below=below, ends=ends)
-    raw = segments.chapters(tops, shortest, most_chapters)
+    raw = once(segments.chapters(tops, shortest, most_chapters))
     chaps = enhanced_chapters(raw, scenes if scenes is not None else none(), changes if changes is not None else none())
-    found = speech.findings(timed, patterns, least=least, most=most)
-    acts = speech.actions(found, timed)
-    arc = speech.sentiment_arc(timed, positive, negative)
+    chaps = once(chaps)
+    found = once(speech.findings(timed, patterns, least=least, most=most))
+    acts = once(speech.actions(found, timed))
+    arc = once(speech.sentiment_arc(timed, positive, negative))
     tone = speech.overall_sentiment(arc)
     graded = grades(videos, chaps, found, arc)
     brief = executive_summary(videos, chaps, found, acts, tone)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parlance import lexicons as lex
 from parlance.functions import text as T
 from parlance.operators import graph, segments, speakers, speech, summaries, vectors, visual
+from parlance.sources.scratch import ready
 from parlance.sources.tables import table, transcripts, turns
 from parlance.streaming import limits
 
@@ -287,14 +288,29 @@ def executive_summary(s, d):
     return summaries.executive_summary(_videos(s, d), _minutes(s, d), speech.insights(_timed(s, d), PATTERNS), _actions(s, d), overall_sentiment(s, d))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Checkpointed: a report reads it many times."""
+    ready(df.sparkSession)
+    return df.checkpoint()
+
+
+def _report(s, d):
+    timed = _kept(_timed(s, d))
+    videos = transcripts(s, d).select("video_id", F.concat(F.lit("Talk "), "video_id").alias("title")).join(timed.groupBy("video_id").agg(F.max("end").alias("duration")), "video_id", "left")
+    found, arc, chaps = _kept(speech.insights(timed, PATTERNS)), _kept(speech.sentiment_arc(timed, POSITIVE, NEGATIVE)), _kept(segments.chapters(segments.topics(transcripts(s, d))))
+    acts, tone = speech.actions(found, timed), speech.overall_sentiment(arc)
+    brief, graded = summaries.executive_summary(videos, chaps, found, acts, tone), summaries.grades(videos, chaps, found, arc)
+    return timed, videos, found, arc, chaps, acts, tone, brief, graded
+
+
 def summary_markdown(s, d):
-    said = speech.quotes(_timed(s, d), backreference=False, strong=STRONG)
-    return summaries.markdown(_videos(s, d), executive_summary(s, d), overall_sentiment(s, d), _grades(s, d), _minutes(s, d), speech.insights(_timed(s, d), PATTERNS), _actions(s, d), said, sentiment_arc(s, d))
+    timed, videos, found, arc, chaps, acts, tone, brief, graded = _report(s, d)
+    return summaries.markdown(videos, brief, tone, graded, chaps, found, acts, speech.quotes(timed, backreference=False, strong=STRONG), arc)
 
 
 def summary_json(s, d):
-    found = speech.insights(_timed(s, d), PATTERNS)
-    return summaries.as_json(_videos(s, d), executive_summary(s, d), overall_sentiment(s, d), _grades(s, d), {"chapters": _minutes(s, d), "key_insights": found.select("video_id", "rank", "type", "text", "start", "end", "importance", "confidence"), "action_items": _actions(s, d)})
+    _, videos, found, _, chaps, acts, tone, brief, graded = _report(s, d)
+    return summaries.as_json(videos, brief, tone, graded, {"chapters": chaps, "key_insights": found.select("video_id", "rank", "type", "text", "start", "end", "importance", "confidence"), "action_items": acts})
 
 
 QUERIES = [
