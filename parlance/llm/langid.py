@@ -176,7 +176,10 @@ def fitted(docs: DataFrame, *, rows: int = 2400, buckets: int = 1 << 15) -> Mode
     cols = [got.column(c).combine_chunks() for c in ("idx", "wt")] if got.num_rows else []
     feats = [[c.flatten().to_numpy()[a:b] for a, b in zip(o, o[1:], strict=False)] for c in cols for o in [np.append(0, np.cumsum(c.value_lengths().to_numpy()))]]
     made = zip(got.column("lang").to_pylist(), got.column("h").to_pylist(), *feats, strict=True) if feats else ()
-    return train(sorted(made, key=lambda r: (r[1], r[0], len(r[2]))), buckets=buckets)
+    model = train(sorted(made, key=lambda r: (r[1], r[0], len(r[2]))), buckets=buckets)
+    del got, cols, feats, made
+    pa.default_memory_pool().release_unused()  # the driver keeps the model alone
+    return model
 
 
 def _told(docs: DataFrame, model: Model, text: str, only: bool) -> DataFrame:

@@ -72,12 +72,17 @@ def bands(h: Column, i: Column) -> Column:
 
 def templates(spark: SparkSession, given: dict[str, str]) -> DataFrame:
     """license, n (words a run), th (distinct runs), v (its bands): short ones have their runs as bands."""
-    rows = spark.createDataFrame(sorted(given.items()), "license string, text string").select("license", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    n = F.least(F.size("w"), F.lit(WORDS))
-    th = F.coalesce(*(F.when(n == k, runs(F.col("w"), k)) for k in range(1, WORDS + 1)))
-    t = rows.select("license", n.alias("n"), th.alias("h"))
-    v = F.when(F.size("h") < SHORT, F.col("h")).otherwise(F.flatten(F.transform(upto(F.size("h") - SPAN), lambda i: bands(F.col("h"), i))))
-    return t.select("license", "n", F.array_distinct("h").alias("th"), F.array_distinct(v).alias("v"))
+
+    def parts(w: Column) -> Column:
+        n = F.least(F.size(w), F.lit(WORDS))
+        return let(F.coalesce(*(F.when(n == k, runs(w, k)) for k in range(1, WORDS + 1))), lambda h: F.struct(n.alias("n"), F.array_distinct(h).alias("th"), F.array_distinct(windows(h)).alias("v")))
+
+    def windows(h: Column) -> Column:
+        return F.when(F.size(h) < SHORT, h).otherwise(F.flatten(F.transform(upto(F.size(h) - SPAN), lambda i: bands(h, i))))
+
+    # Words and runs are bound by let(): a column of an earlier select could be put into every place that names it.
+    t = spark.createDataFrame(sorted(given.items()), "license string, text string").select("license", let(words(F.col("text")), parts).alias("x"))
+    return t.select("license", "x.*").filter(F.size("th") > 0)
 
 
 def scan(docs: DataFrame, given: dict[str, str] | None = None, *, least: float = 0.8, listed: int = LISTED) -> DataFrame:
@@ -94,10 +99,10 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, *, least: float =
     t = templates(spark, given or TEMPLATES)
     known = t.select("license", F.explode("v").alias("v"))
     # The templates are a parameter: what comes of them is their own size.
-    lengths = [r.n for r in t.select("n").distinct().orderBy("n").collect()]
-    short = [n for n in lengths if n < WORDS]
-    few = known.select("v").distinct().limit(listed + 1).collect()
-    lone = t.filter((F.col("n") == WORDS) & (F.size("th") < SHORT)).limit(1).count() > 0
+    told = t.select("n", F.size("th").alias("m"), F.when(F.size("v") <= listed, F.col("v")).alias("v"), F.size("v").alias("many")).collect()
+    short = sorted({r.n for r in told if r.n < WORDS})
+    lone = any(r.n == WORDS and r.m < SHORT for r in told)
+    few = sum(r.many for r in told) <= listed
 
     def cut(w: Column) -> Column:
         # One array for each number of words that a template's runs have; the last is of five.
@@ -110,8 +115,8 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, *, least: float =
         return F.concat(every, *([h] if lone else []), *(x[f"r{n}"] for n in short))
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), let(words(F.col("text")), cut).alias("x"))
-    if len(few) <= listed:
-        values = sorted(r.v for r in few)
+    if few:
+        values = sorted({v for r in told for v in r.v})
         mine = keyed.select("doc_id", "t", "x", F.explode(F.array_distinct(F.filter(let(F.col("x"), found), lambda v: v.isin(values)))).alias("v"))
         who = t.select("license", "n", "th", F.explode("v").alias("v"))
         # A text meets each license by at most as many bands as that has; of these one is enough.
