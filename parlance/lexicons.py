@@ -55,7 +55,7 @@ PATTERNS = {
         r"\b(?:always\s+(?:make\s+sure|ensure|check|verify))\b",
     ],
     "question": [
-        r"[^.!]*\?\s*$",
+        r"\?\s*$",  # what stands before the sign plays no part
         r"\b(?:what\s+if|how\s+do|why\s+does|when\s+should|where\s+can)\b",
         r"\b(?:have\s+you\s+ever|did\s+you\s+know|can\s+you\s+imagine)\b",
     ],

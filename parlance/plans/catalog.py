@@ -394,8 +394,9 @@ ii AS (SELECT video_id, idx, ord, type, sentence, start, importance, round(least
 
 TOP = lambda x: f"""list_transform(list_sort(list_transform(list_distinct({x}), lambda w: {{'n': -len(list_filter({x}, lambda y: y = w)), 'at': list_position({x}, w), 'w': w}}))[1:15], lambda z: z.w)"""
 def ent(name: str) -> str:
+    """Letters beyond ASCII are part of words for Spark's word borders, but not for RE2's: there they stand as _."""
     return rf""",
-en AS (SELECT video_id, regexp_extract_all(t, '{name}', 1) AS a, list_concat({", ".join(f"regexp_extract_all(t, '(?i){p}', 1)" for p in lex.SCRIPTURES)}) AS b, list_distinct(regexp_extract_all(t, '[ऀ-ॿ]{{3,}}')) AS c FROM v),
+en AS (SELECT video_id, regexp_extract_all(regexp_replace(t, '[À-ÖØ-öø-ɏ]', '_', 'g'), '{name}', 1) AS a, list_concat({", ".join(f"regexp_extract_all(t, '(?i){p}', 1)" for p in lex.SCRIPTURES)}) AS b, list_distinct(regexp_extract_all(t, '[ऀ-ॿ]{{3,}}')) AS c FROM v),
 eu AS (SELECT video_id, unnest(a) AS name, 'concept' AS entity_type, unnest(range(len(a))) AS ord FROM en UNION ALL SELECT video_id, unnest(b), 'text', 100000000 + unnest(range(len(b))) FROM en
        UNION ALL SELECT video_id, unnest(c), 'term', 200000000 + unnest(range(len(c))) FROM en),
 ef AS (SELECT *, substring(md5(entity_type || ':' || lower({STRIP("name")})), 1, 12) AS entity_id FROM eu
