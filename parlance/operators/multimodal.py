@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators import graph
+from parlance.sources.scratch import kept
 
 
 def key_entities(mentions: DataFrame, most: int = 15) -> DataFrame:
@@ -29,7 +30,7 @@ def merged(videos: DataFrame, *, known: DataFrame | None = None, visual: dict |
     """video_id, body: one object with the parts that were given; a part that has nothing of a video is left out of its object.
 
     visual: visual.analysis(); voices: speakers.analysis(); mentions, edges, references: of the graph, edges with
-    source_video. Lists are cut: 20 slides of 500 characters and 20 diagrams, five keywords a topic, 15 entities, ten
+    source_video, references as cross_references() or as best_references(). Lists are cut: 20 slides of 500 characters and 20 diagrams, five keywords a topic, 15 entities, ten
     references.
     """
     c, parts = F.col, []
@@ -62,11 +63,14 @@ def merged(videos: DataFrame, *, known: DataFrame | None = None, visual: dict |
             g = join(g, edges.groupBy(F.col("source_video").alias("video_id")).agg(F.count("*").alias("total_relationships")))
         parts.append(as_part(g, "knowledge_graph"))
     if references is not None:
-        both = references.select(F.col("source_video").alias("video_id"), F.col("target_video").alias("other"), "shared", "similarity", "ref_type")
-        both = both.unionByName(references.select(F.col("target_video").alias("video_id"), F.col("source_video").alias("other"), "shared", "similarity", "ref_type"))
+        both = references
+        if "source_video" in references.columns:
+            side = lambda a, b: references.select(F.col(a).alias("video_id"), F.col(b).alias("other"), "shared", "similarity", "ref_type")
+            both = side("source_video", "target_video").unionByName(side("target_video", "source_video"))
         both = both.withColumn("far", -F.col("similarity"))
         parts.append(nested(both, "cross_references", 10, ["far", "other"], target_video=c("other"), shared_entities=c("shared"), similarity=c("similarity"), type=c("ref_type")))
-    j = join(videos.select("video_id"), *parts)
+    # Each part is written by itself, so that no plan holds the shuffles of all of them at once.
+    j = join(videos.select("video_id"), *map(kept, parts))
     return j.select("video_id", F.to_json(F.struct(*(x for x in j.columns if x != "video_id"))).alias("body"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,24 +93,80 @@ def boundaries(scores: DataFrame, least: int = 3, below: float = 0.2) -> DataFra
     return g.select("video_id", starting(F.col("c"), least).alias("starts"))
 
 
+def cut(rows: DataFrame, least: int, most: int, below: float, stop: list[str], k: int = 15, named: int = 10) -> DataFrame:
+    """rows (video_id, whole, s, tok: the tokens of each sentence) without tok and with starts, the first `most` of starting(), and best, the `named` most frequent tokens of each part.
+
+    As similarities() and ranked() have it, in time that grows with the tokens: a part is as long as the rest of its text.
+    Tokens are numbered by batch, so windows of sentences are slices of one list. Rows without sentences are left out.
+    """
+    schema = pa.list_(pa.int32()), pa.list_(pa.list_(pa.string()))
+
+    def parts(at: list[int], codes: list[int], n: int) -> tuple[list[int], list[list[int]]]:
+        """at: where each of n sentences begins in codes, and the end of the last."""
+        tops: dict[tuple[int, int], set[int]] = {}
+
+        def ranking(a: int, b: int, many: int) -> list[int]:
+            c = Counter(codes[at[a] : at[min(b, n)]])  # in the order of first places, which sorting keeps for equal counts
+            return sorted(c, key=c.get, reverse=True)[:many] if len(c) > 1 else list(c)
+
+        def top(a: int, b: int) -> set[int]:
+            if (a, b) not in tops:
+                tops[a, b] = set(ranking(a, b, k))
+            return tops[a, b]
+
+        starts, i = [0], least
+        while n >= least and i < n and len(starts) < most:
+            w = min(3, i)
+            a, b = (top(i - w, i), top(i, i + w)) if i - starts[-1] >= least else (None, None)
+            if a and b and round(len(a & b) / len(a | b), 6) < below:
+                starts.append(i)
+            i += 1
+        return starts[: max(most, 0)], [ranking(a, b, named) for a, b in zip(starts, [*starts[1:], n], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            # Texts without sentences go here: a filter of the engine's would cut each text twice.
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("tok")), 0))
+            tok = batch.column("tok")
+            inner = tok.flatten()
+            flat = inner.flatten().dictionary_encode()
+            code = flat.indices.to_numpy(zero_copy_only=False)
+            keep = ~pc.is_in(flat.dictionary, pa.array(stop, pa.string())).to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(inner).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(keep)]).astype(np.int64)[ends].tolist()
+            codes, lengths = code[keep].tolist(), pc.list_value_length(tok).to_pylist()
+            starts, best, first = [], [], 0
+            for n in lengths:
+                s, b = parts(at[first : first + n + 1], codes, n)
+                starts.append(s)
+                best.append(b)
+                first += n
+            every = [x for b in best for y in b for x in y]
+            names = flat.dictionary.take(pa.array(every, pa.int32()))
+            size = lambda xs: pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(size(best), pa.ListArray.from_arrays(size([y for b in best for y in b]), names))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("video_id", "whole", "s")] + [pa.array(starts, schema[0]), lists], ["video_id", "whole", "s", "starts", "best"])
+
+    return rows.mapInArrow(run, "video_id string, whole string, s array<string>, starts array<int>, best array<array<string>>")
+
+
 def topics(docs: DataFrame, least: int = 3, most: int = 20, stop: list[str] | None = None, below: float = 0.2, ends: DataFrame | None = None) -> DataFrame:
     """video_id, topic_id, title, summary, start_time, end_time, start_index, end_index, text, keywords, confidence.
 
-    Boundaries are found in the row: no text is shuffled. A sentence takes 3 s, or its share of the video's length where
-    `ends` (video_id, end: of the last recognised segment) has one.
+    Boundaries are found beside the row, by cut(): no text is shuffled. A sentence takes 3 s, or its share of the video's
+    length where `ends` (video_id, end: of the last recognised segment) has one.
     """
-    low = lambda s: F.transform(F.filter(similarities(s, least, stop), lambda x: x["similarity"] < below), lambda x: x["idx"])
-    both = lambda s: F.struct(s.alias("s"), starting(low(s), least).alias("starts"))
-    j = docs.select("video_id", F.col("text").alias("whole"), T.let(T.sentences(F.col("text")), both).alias("x")).select("video_id", "whole", F.col("x.s").alias("s"), F.col("x.starts").alias("starts"))
     few = F.size("s") < least
-    j = j.withColumn("starts", F.when(few, F.array(F.lit(0))).otherwise(F.slice("starts", 1, most))).filter(F.size("s") > 0)
+    j = docs.select("video_id", "text", T.sentences(F.col("text")).alias("s"))
+    j = j.select("video_id", F.when(few, F.col("text")).alias("whole"), "s", F.transform("s", lambda x: T.tokens(x)).alias("tok"))
+    j = cut(j, least, most, below, stop or lex.STOP_WORDS)
     if ends is not None:
         j = j.join(ends.select("video_id", F.col("end").cast("double").alias("long")), "video_id", "left")
     else:
         j = j.withColumn("long", F.lit(None).cast("double"))
     e = j.select("*", F.posexplode("starts").alias("topic_id", "start_index"))
     e = e.withColumn("end_index", F.coalesce(F.get("starts", F.col("topic_id") + 1), F.size("s"))).withColumn("part", F.slice("s", F.col("start_index") + 1, F.col("end_index") - F.col("start_index")))
-    e = e.withColumn("keywords", F.slice(ranked(F.flatten(F.transform("part", lambda x: kept_tokens(x, stop)))), 1, 10))
+    e = e.withColumn("keywords", F.get("best", F.col("topic_id")))
     first = F.get("part", F.lit(0))
     title = F.when(F.length(first) <= 60, F.regexp_replace(first, r"\.+$", "")).when(F.size("keywords") > 0, F.array_join(F.transform(F.slice("keywords", 1, 4), F.initcap), " — ")).otherwise(F.concat(F.array_join(F.slice(T.words(first), 1, 8), " "), F.lit("...")))
     head = F.array_join(F.slice("part", 1, 3), " ")
@@ -132,9 +191,10 @@ def chapters(tops: DataFrame, shortest: float = 60.0, most: int = 15, alike: flo
 
     A topic joins the group before it while that is shorter than `shortest` or their keywords are alike; then the
     neighbours that are shortest together are joined until at most `most` are left. Two folds over a video's topics,
-    which are few; of a topic's text only its length is shuffled.
+    which are few; of a topic's text only its length is shuffled. tops may have that length as `size` instead.
     """
-    t = F.struct("topic_id", "title", "start_time", "end_time", "summary", F.length("text").alias("size"), "keywords")
+    size = F.col("size") if "size" in tops.columns else F.length("text")
+    t = F.struct("topic_id", "title", "start_time", "end_time", "summary", size.alias("size"), "keywords")
     v = tops.groupBy("video_id").agg(F.array_sort(F.collect_list(t)).alias("t"))
     long_ = lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + (x["end_time"] - x["start_time"]))
 
