@@ -26,15 +26,17 @@ def running(d: Column, block: int = 256) -> Column:
     """Sums of the integers before each element and, last, of all: by blocks, so that long arrays aren't copied for each element."""
     add = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
     zero = F.array(F.lit(0).cast("long"))
-    at = F.when(F.size(d) > 0, F.sequence(F.lit(1), F.greatest(F.size(d), F.lit(1)), F.lit(block))).otherwise(F.array().cast("array<int>"))
-    inner = F.transform(at, lambda i: F.aggregate(F.slice(d, i, block), zero, add))
+
+    def inner(d):
+        at = F.when(F.size(d) > 0, F.sequence(F.lit(1), F.greatest(F.size(d), F.lit(1)), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.aggregate(F.slice(d, i, block), zero, add))
 
     def joined(parts):
         before = F.aggregate(parts, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(x, -1))))
         rest = lambda bases: F.flatten(F.transform(parts, lambda x, i: F.transform(F.slice(x, 2, F.size(x)), lambda y: y + F.get(bases, i))))
         return F.concat(zero, T.let(before, rest))
 
-    return T.let(inner, joined)
+    return T.let(T.let(d, inner), joined)
 
 
 def clocked(s: Column) -> Column:
@@ -57,7 +59,7 @@ def spoken(text: Column) -> Column:
 def timed_sentences(docs: DataFrame) -> DataFrame:
     """video_id, idx, sentence, start, end, total: 0.4 s a word and a second at least; a text without sentences is one. A fold in the row: no shuffle."""
     s = docs.select("video_id", clocked(spoken(F.col("text"))).alias("s"))
-    e = s.select("video_id", F.size("s").cast("long").alias("total"), F.posexplode("s").alias("idx", "x"))
+    e = T.rows_of(s, F.col("s"), "idx", "x").withColumn("total", F.size("s").cast("long"))
     return e.select("video_id", "idx", "x.sentence", (F.col("x.a") / 10).alias("start"), (F.col("x.b") / 10).alias("end"), "total")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.operators import segments, speech
-from parlance.sources.scratch import ready
+from parlance.sources.scratch import kept, ready
 
 # Fixed values of the reports: signs and weights.
 PRIORITY_SIGNS = {"high": "🔴", "medium": "🟡", "low": "🟢"}
@@ -254,11 +254,11 @@ def summarize(docs: DataFrame, scenes: DataFrame | None = None, changes: DataFra
     """All parts of the report on each of docs (video_id, title, text): topics, chapters, insights, actions, quotes, arc, tone, grades, quality, summary, markdown and json.
 
     scenes, changes: video_id, s; segs: recognised segments; slides: video_id, timestamp, text. Each is optional. What
-    several parts read (chapters, insights, actions, arc) is checkpointed once, at the call.
+    several parts read (sentences, chapters, insights, actions, arc) is written once, at the call.
     """
-    once = lambda df: (ready(df.sparkSession), df.checkpoint())[1]
+    once = kept
     none = lambda: docs.select("video_id", F.lit(0.0).alias("s")).limit(0)
-    timed = speech.timed_sentences(docs) if segs is None else speech.timed_segments(segs, docs)
+    timed = once(speech.timed_sentences(docs) if segs is None else speech.timed_segments(segs, docs))
     length = timed.groupBy("video_id").agg(F.max("end").alias("duration"))
     videos = docs.select("video_id", F.coalesce("title", F.lit("")).alias("title")).join(length, "video_id", "left")
     ends = None if segs is None else segs.groupBy("video_id").agg(F.max("end").alias("end"))
